@@ -2,19 +2,20 @@
 
 Words are maximal runs of letters, digits and non-ASCII characters, A-Z
 lower-cased. Each item's seeds are its word trigrams; the corpus is read once to
-count how often each of them occurs, and the rarer half of an item's seeds (at
-least eight, or all) is kept. Where a document holds a seed of an item, the
-stretch of the document around it is aligned with the item's words: 2 for a
-match, -1 for a mismatch or a gap. The score is the best local alignment over
-the item's perfect score, so 1 is a verbatim copy. Pairs of at least ``least``
-count as contaminated.
-
-Which seeds are kept depends on ranks within an item, not on an absolute
-count, so a passage that is common in the corpus is found as well as a rare one,
-and no document or hit is left out. The benchmark is the stated query set: it
-is read in blocks of bounded size (``block_bytes`` of text), each of which is
-broadcast and run against all rows. Nothing of the corpus is shuffled but the
-seeds' counts, which each task sums first.
+count how often each of them occurs. A seed is dropped if it is common: more
+than 100 times and once in a million words, and also more than four times as
+often as the lower quartile of its item's seeds. Where a document holds a seed of
+an item, the stretch of the document around it is aligned with the item's
+words: 2 for a match, -1 for a mismatch or a gap. The score is the best local
+alignment over the item's perfect score, so 1 is a verbatim copy. Pairs of at
+least ``least`` count as contaminated.
+
+Because a seed is weighed beside its item's others, a passage that is common
+in the corpus keeps its seeds as a rare one does, and no document or hit is left
+out. The benchmark is the stated query set: it is read in blocks of bounded
+size (``block_bytes`` of text), each of which is broadcast and run against all
+rows. Nothing of the corpus is shuffled but the seeds' counts, which each task
+sums first.
 
 Null or empty texts match nothing. Items that are null or shorter than three
 words are ignored. Repeated items each get their pairs. Repeated rows of
@@ -91,14 +92,14 @@ class Items:
         self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
         self.keys = np.unique(self.seed)
 
-    def keep_rare(self, counts: dict[int, int], least: int = 8) -> None:
-        """Keep the rarer half of each item's seeds."""
+    def keep_rare(self, counts: dict[int, int], n_words: int, share: float = 1e-6, least: int = 100) -> None:
+        """Drop seeds that are common, by themselves and beside the other seeds of their item."""
         n = np.array([counts.get(int(s), 0) for s in self.seed], np.int64)
-        order = np.lexsort((self.at, n, self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        total = np.bincount(item, minlength=len(self.ids))[item]
-        on = order[rank < np.maximum(least, (total + 1) // 2)]
+        usual = np.zeros(len(self.ids))  # the lower quartile of an item's counts
+        for k in range(len(self.ids)):
+            if len(own := n[(self.item == k) & (n > 0)]):
+                usual[k] = np.quantile(own, 0.25)
+        on = n <= np.maximum(max(least, share * n_words), 4 * usual[self.item])
         self.seed, self.item, self.at = self.seed[on], self.item[on], self.at[on]
         self._sort()
 
@@ -150,18 +151,22 @@ def _rare(docs: DataFrame, items: Items) -> Items:
 
     def run(batches):
         own = keys.value
-        total = np.zeros(len(own), np.int64)
+        total, n_words = np.zeros(len(own), np.int64), 0
         for _, datas in T.each(batches):
             for data in datas:
-                grams = T.to_signed(T.gram_hashes(words(data), SEED))
+                text = words(data)
+                n_words += len(text)
+                grams = T.to_signed(T.gram_hashes(text, SEED))
                 if len(grams) and len(own):
                     at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
                     total += np.bincount(at[own[at] == grams], minlength=len(own))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(total[some])], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_words], pa.int64())], ["seed", "n"])
 
     counts = docs.select("doc_id", "text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    items.keep_rare({r[0]: r[1] for r in counts})
+    found = {r[0]: r[1] for r in counts}
+    items.keep_rare(found, found.get(None, 0))
     return items
 
 

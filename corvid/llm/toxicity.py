@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, most
         on = ~np.isnan(y)
         ones = int((y[on] == 1).sum())
         if min(ones, int(on.sum()) - ones) < least_rows:
-            share = (ones + 0.5) / (on.sum() + 1)
+            share = (ones + 0.5) / (on.sum() + 2)
             chain.weights.append(np.append(np.log(share / (1 - share)), np.zeros(x.shape[1])))
             chain.limits.append(0.5)
             odds = np.full(len(x), chain.weights[-1][0])

@@ -224,12 +224,14 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     by one space, with n_chars (where the table has it) counted anew.
     """
     profile, cut = repeats(docs, window, keep_text=True)
-    gone = profile.where(F.col("is_copy") & (F.col("n_words") >= window)).select(F.col("doc_id").alias("__corvid_id")).distinct()
-    new = cut.select(F.col("doc_id").alias("__corvid_id"), F.col("kept_text").alias("__corvid_text")).dropDuplicates(["__corvid_id"])
-    out = docs.join(gone, docs["doc_id"] == F.col("__corvid_id"), "left_anti")
-    out = out.join(new.hint("shuffle_hash"), out["doc_id"] == new["__corvid_id"], "left")
-    changed = F.col("__corvid_text")
-    columns = {name: F.col(f"`{name}`") for name in docs.columns} | {"text": F.coalesce(changed, F.col("text"))}
+    gone = profile.where(F.col("is_copy") & (F.col("n_words") >= window)).select("doc_id").distinct()
+    new = cut.select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    # the row as one value: its columns can't clash with those of this operator
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(gone, "doc_id", "left_anti").join(new.hint("shuffle_hash"), "doc_id", "left")
+    changed = F.col("kept_text")
+    columns = {name: F.col("row").getField(name) for name in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(changed.isNull(), F.col("n_chars")).otherwise(F.length(changed)).cast(docs.schema["n_chars"].dataType)
-    return out.where(changed.isNull() | (changed != "")).select(*(c.alias(name) for name, c in columns.items()))
+        columns["n_chars"] = F.when(changed.isNull(), columns["n_chars"]).otherwise(F.length(changed)).cast(docs.schema["n_chars"].dataType)
+    columns["text"] = F.coalesce(changed, columns["text"])
+    return rows.where(changed.isNull() | (changed != "")).select(*(c.alias(name) for name, c in columns.items()))

@@ -30,8 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each component (4-word shingles, similarity 0.85)."""
     ship(spark)
     classes = ngram_jaccard.near_duplicates(docs, n=4, percent=85)
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
+    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
+    # the row as one value: its columns can't clash; of repeated rows one stays, rows without doc_id all do
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.first("row").alias("row"))
+    return kept.union(rows.where("doc_id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

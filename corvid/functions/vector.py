@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_WORD = re.compile(r"\w+")
+
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -37,16 +41,20 @@ def clamped_cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 18)
 def _place(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
 
 
 def hashed(dim: int = 64):
-    """A pandas UDF array<string> -> array<double>: counts of tokens by MD5, a deterministic stand-in for an embedding."""
+    """A pandas UDF text -> array<double>: counts of word tokens by MD5, a deterministic stand-in for an embedding."""
+
+    def one(text: str) -> list[float]:
+        counts = Counter(_WORD.findall(text.lower()))
+        return np.bincount([_place(t) % dim for t in counts], list(counts.values()), dim).tolist() if counts else [0.0] * dim
 
     @F.pandas_udf("array<double>")
-    def run(tokens: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount([_place(t) % dim for t in x], minlength=dim).astype(float).tolist() if x is not None else None for x in tokens])
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(x) if x is not None else None for x in texts])
 
     return run

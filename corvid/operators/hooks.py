@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import overlap_score, word_tokens
+from ..functions.text import overlap_score
 from ..functions.vector import hashed
 
 
@@ -55,7 +55,7 @@ def generate_udf(make: Callable[[], Callable[[list[str]], list[str]]]):
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Stand-in embedder: token counts by hash."""
-    return hashed(dim)(word_tokens(text))
+    return hashed(dim)(text)
 
 
 def overlap_scorer(question: Column, text: Column) -> Column:

@@ -1,52 +1,90 @@
-"""TF-IDF weights and search through an inverted index.
+"""TF-IDF weights and search.
 
 Terms are lower-cased word tokens of two characters or more, without stop
-words, alone and in neighbouring pairs. Everything is an equi-join or an
-aggregation on the term, so a corpus of any size is spread by term; the
-vocabulary is cut to the most frequent ones by a distributed top-k.
+words, alone and in neighbouring pairs. The corpus is read twice and never
+shuffled as tokens: the first pass sums the terms of each task before the
+shuffle that ranks them; the vocabulary kept is bounded by ``limit``, so the
+second pass has it by broadcast, weighs each document on its own and hands on
+only the terms that are asked for.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import word_tokens
+
+_WORD = re.compile(r"\w{2,}")
+_STOP = frozenset(C.STOP_WORDS)
 
 
-def terms(docs: DataFrame, key: str, text: str = "text", pairs: bool = True) -> DataFrame:
-    """(key, term, tf) of each document."""
-    kept = F.filter(word_tokens(F.col(text), 2), lambda w: ~w.isin(*C.STOP_WORDS))
-    rows = docs.select(key, kept.alias("_words"))
-    grams = F.col("_words")
-    if pairs:
-        n = F.size("_words")
-        neighbours = F.when(n > 1, F.zip_with(F.slice("_words", 1, n - 1), F.slice("_words", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-        grams = F.concat("_words", neighbours)
-    return rows.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def grams(text: str | None, pairs: bool = True) -> list[str]:
+    """A text's terms; pairs are made after stop words are gone."""
+    kept = [w for w in _WORD.findall((text or "").lower()) if w not in _STOP]
+    return kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])] if pairs else kept  # noqa: B905
 
 
-def term_stats(tf: DataFrame, n_docs: DataFrame, limit: int | None = C.TFIDF_FEATURES) -> DataFrame:
+def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = True, text: str = "text") -> DataFrame:
     """(term, total, df, idf) of the ``limit`` most frequent terms, ties in alphabetical order."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    if limit:
-        stats = stats.orderBy(F.desc("total"), F.asc("term")).limit(limit)
-    return stats.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
 
+    def count(batches):
+        total, df = Counter(), Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[t] for t in total], pa.int64())], ["term", "total", "df"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                own = Counter(grams(x, pairs))
+                total.update(own)
+                df.update(own.keys())
+                if len(total) > 500_000:
+                    yield out()
+                    total, df = Counter(), Counter()
+        yield out()
+
+    rows = docs.select(text).mapInArrow(count, "term string, total long, df long")
+    top = rows.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), F.asc("term")).limit(limit)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
+    return top.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
+
+
+def vocabulary(stats: DataFrame) -> dict[str, float]:
+    """term -> idf, as many as ``term_stats`` was limited to."""
+    return {r[0]: r[1] for r in stats.select("term", "idf").collect()}
+
+
+def weights(docs: DataFrame, idf: dict[str, float], key: str, pairs: bool = True, text: str = "text", only: frozenset | None = None) -> DataFrame:
+    """(key, term, weight), each document's weights of unit length; ``only`` limits the terms handed on."""
+    shared = docs.sparkSession.sparkContext.broadcast((idf, only))
+
+    def weigh(batches):
+        known, asked = shared.value
+        for batch in batches:
+            keys, terms, values = [], [], []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {t: n * known[t] for t, n in Counter(grams(x, pairs)).items() if t in known}
+                size = sum(w * w for w in own.values()) ** 0.5
+                for t, w in own.items():
+                    if asked is None or t in asked:
+                        keys.append(k)
+                        terms.append(t)
+                        values.append(w / size)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(values, pa.float64())], [key, "term", "weight"])
 
-def weights(tf: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight), each document's weights of unit length."""
-    raw = tf.join(stats.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    size = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_size"))
-    return raw.join(size, key).select(key, "term", (F.col("_w") / F.col("_size")).alias("weight"))
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(weigh, f"{key} long, term string, weight double")
 
 
-def search(questions: DataFrame, docs: DataFrame, limit: int | None = C.TFIDF_FEATURES, digits: int = 6) -> DataFrame:
+def search(questions: DataFrame, docs: DataFrame, limit: int = C.TFIDF_FEATURES, digits: int = 6) -> DataFrame:
     """(query_id, id, score) of all pairs that share a term; ``questions (query_id, text)``, ``docs (id, text)``."""
-    tf = terms(docs, "id")
-    stats = term_stats(tf, docs.agg(F.count(F.lit(1)).alias("n_docs")), limit)
-    d = weights(tf, stats, "id")
-    q = weights(terms(questions, "query_id"), stats, "query_id")
+    idf = vocabulary(term_stats(docs, limit))
+    q = weights(questions, idf, "query_id")
+    asked = frozenset(r[0] for r in q.select("term").distinct().collect())  # terms of the vocabulary
+    d = weights(docs, idf, "id", only=asked)
     pairs = q.select("query_id", "term", F.col("weight").alias("_q")).join(d, "term")
     return pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("_q") * F.col("weight")), digits).alias("score"))

@@ -109,16 +109,13 @@ sparse AS (SELECT query_id, id, round(sum(qw.w * dw.w), 6) AS score FROM qw JOIN
 @query(f"WITH {_TFIDF} SELECT term, total, df, round(idf, 6)::DOUBLE AS idf FROM idf")
 def term_stats(spark, sf_dir):
     _, d = _texts(spark, sf_dir)
-    rows = tfidf.term_stats(tfidf.terms(d, "id"), d.agg(F.count(F.lit(1)).alias("n_docs")))
-    return rows.select("term", "total", "df", F.round("idf", 6).alias("idf"))
+    return tfidf.term_stats(d).select("term", "total", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TFIDF} SELECT id, term, round(w, 6)::DOUBLE AS weight FROM dw")
 def tfidf_weights(spark, sf_dir):
     _, d = _texts(spark, sf_dir)
-    tf = tfidf.terms(d, "id")
-    stats = tfidf.term_stats(tf, d.agg(F.count(F.lit(1)).alias("n_docs")))
-    return tfidf.weights(tf, stats, "id").select("id", "term", F.round("weight", 6).alias("weight"))
+    return tfidf.weights(d, tfidf.vocabulary(tfidf.term_stats(d)), "id").select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _top(rel: str, k: int, score: str = "score") -> str:

@@ -43,7 +43,7 @@ RULES = (
     Rule("symbol_word_ratio", most=0.1),
     Rule("stop_word_ratio", least=0.06),
     Rule("upper_ratio", most=0.5),
-    Rule("dup_line_ratio", most=0.3),
+    Rule("dup_line_ratio", most=0.5),
     Rule("bar_line_ratio", most=0.5),
     Rule("repeat_word_ratio", most=0.5),
 )

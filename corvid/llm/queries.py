@@ -149,7 +149,7 @@ m AS (
 f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 12.0 AND n_symbols / n_words <= 0.1
-   AND n_stop / n_words >= 0.06 AND n_upper / word_chars <= 0.5 AND n_dup_lines / n_lines <= 0.3
+   AND n_stop / n_words >= 0.06 AND n_upper / word_chars <= 0.5 AND n_dup_lines / n_lines <= 0.5
    AND n_bar / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5) AS kept
 FROM f
 """

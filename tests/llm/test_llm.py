@@ -378,7 +378,7 @@ def test_pipeline(spark, tmp_path):
     items = [(1, prose(30))]
     rows += [(500, f"{prose(20)} {items[0][1]} {prose(20)}"), (501, "123 456"), (502, None)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows + rows[5:8]], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = by_id(P.run(spark, str(tmp_path)))
     left = [(d, t) for d, t in rows if d not in (501, 502) and re.search("[a-z]", t or "")]

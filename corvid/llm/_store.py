@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,11 +21,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage with files that outlive any executor. The shuffle
     files behind the written table are no longer needed; asking the driver to
     collect its garbage lets Spark's cleaner remove them now, not at some
-    later full collection.
+    later full collection. The last events of a query hold its plan until others
+    follow, so a trivial query is run first and events are waited for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvid-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    spark.sql("select 1").collect()
+    with contextlib.suppress(Py4JError):  # late events only keep files a while longer
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)

@@ -15,7 +15,7 @@ after). A window of 13 words sees between one and six boundaries whose symbol
 lies inside it (any four neighbouring places hold one); the least of these
 names is the window's symbol. So equal windows have equal symbols, and a
 window whose symbol occurs in one document only cannot repeat. That leaves few
-windows to compare: those under shared symbols are verified by a 128-bit name
+windows to compare: those under shared symbols are verified by a 96-bit name
 of all their words.
 
 Steps, with what is shuffled:
@@ -143,7 +143,7 @@ def _windows(window: int):
                     out[3].append(at.astype(np.uint64))
                 if out[0]:
                     a, b, d, p = (T.to_signed(np.concatenate(x)) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array(p.astype(np.int32))], ["a", "b", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((b >> 32).astype(np.int32)), pa.array(d), pa.array(p.astype(np.int32))], ["a", "b", "doc_id", "pos"])
 
     return run
 
@@ -191,9 +191,11 @@ def repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -> tuple
     held = materialize(symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "held")
     held = held.join(profile.where("is_copy").select("doc_id").distinct(), "doc_id", "left_anti")
     texts = materialize(docs.join(held.hint("shuffle_hash"), "doc_id"), "texts")
-    windows = materialize(texts.mapInArrow(_windows(window), "a long, b long, doc_id long, pos int"), "windows")
+    # made anew for either side of the join: a written table of windows would take as much disk as the input
+    windows = texts.mapInArrow(_windows(window), "a long, b int, doc_id long, pos int")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
     starts = windows.join(least, ["a", "b"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    starts = materialize(starts, "starts")  # the windows' shuffle files can go before texts are joined
     cut = texts.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id").mapInArrow(_cut(window, keep_text), "doc_id long, sha binary, n_removed long, kept_sha binary, kept_text string").dropDuplicates(["doc_id", "sha"])
     return profile, cut
 
@@ -228,7 +230,7 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     new = cut.select("doc_id", "kept_text").dropDuplicates(["doc_id"])
     # the row as one value: its columns can't clash with those of this operator
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(gone, "doc_id", "left_anti").join(new.hint("shuffle_hash"), "doc_id", "left")
+    rows = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").join(new.hint("shuffle_hash"), "doc_id", "left")
     changed = F.col("kept_text")
     columns = {name: F.col("row").getField(name) for name in docs.columns}
     if "n_chars" in columns:

@@ -33,8 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = classes.where("doc_id != component_id").select("doc_id").distinct()
     # the row as one value: its columns can't clash; of repeated rows one stays, rows without doc_id all do
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.first("row").alias("row"))
-    return kept.union(rows.where("doc_id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
+        kept = kept.join(twice, "doc_id", "left_anti").union(first)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,21 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are maximal runs of letters, digits and non-ASCII characters, A-Z
-lower-cased. Each item's seeds are its word trigrams; the corpus is read once to
-count how often each of them occurs. A seed is dropped if it is common: more
-than 100 times and once in a million words, and also more than four times as
-often as the lower quartile of its item's seeds. Where a document holds a seed of
-an item, the stretch of the document around it is aligned with the item's
-words: 2 for a match, -1 for a mismatch or a gap. The score is the best local
-alignment over the item's perfect score, so 1 is a verbatim copy. Pairs of at
-least ``least`` count as contaminated.
-
-Because a seed is weighed beside its item's others, a passage that is common
-in the corpus keeps its seeds as a rare one does, and no document or hit is left
-out. The benchmark is the stated query set: it is read in blocks of bounded
-size (``block_bytes`` of text), each of which is broadcast and run against all
-rows. Nothing of the corpus is shuffled but the seeds' counts, which each task
-sums first.
+lower-cased. Each item's seeds are all of its word trigrams. Where a document
+holds a seed of an item, the stretch of the document around it is aligned with
+the item's words: 2 for a match, -1 for a mismatch or a gap. The score is the
+best local alignment over the item's perfect score, so 1 is a verbatim copy.
+Pairs of at least ``least`` count as contaminated.
+
+No seed is dropped, however common it is in the corpus or in the group of a
+document's copies. What common seeds cost is saved by a bound instead: an
+alignment can't match more words than item and stretch share, so stretches that
+share too few for ``least`` aren't aligned, and no pair is lost by that. Equal
+stretches are aligned once in a task. The benchmark is the stated query set: it
+is read in blocks of bounded size (``block_bytes`` of text), each of which is
+broadcast and run against all rows. Nothing of the corpus is shuffled.
 
 Null or empty texts match nothing. Items that are null or shorter than three
 words are ignored. Repeated items each get their pairs. Repeated rows of
@@ -76,6 +74,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.words = [], []
+        self.seen, self.seen_bytes = {}, 0
         for i, text in zip(ids, texts, strict=True):
             w = words(np.frombuffer(text.encode(), np.uint8))
             if len(w) >= SEED:
@@ -85,23 +84,30 @@ class Items:
         self.seed = np.concatenate([np.zeros(0, np.int64), *grams])
         self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k) for k, g in enumerate(grams))]).astype(np.int64)
         self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)]).astype(np.int64)
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
         self.keys = np.unique(self.seed)
 
-    def keep_rare(self, counts: dict[int, int], n_words: int, share: float = 1e-6, least: int = 100) -> None:
-        """Drop seeds that are common, by themselves and beside the other seeds of their item."""
-        n = np.array([counts.get(int(s), 0) for s in self.seed], np.int64)
-        usual = np.zeros(len(self.ids))  # the lower quartile of an item's counts
-        for k in range(len(self.ids)):
-            if len(own := n[(self.item == k) & (n > 0)]):
-                usual[k] = np.quantile(own, 0.25)
-        on = n <= np.maximum(max(least, share * n_words), 4 * usual[self.item])
-        self.seed, self.item, self.at = self.seed[on], self.item[on], self.at[on]
-        self._sort()
+    def _may_reach(self, i: int, text: np.ndarray, least: float) -> bool:
+        """False only if no alignment can score ``least``: each match takes a word of the item and an equal one of the text."""
+        item = self.words[i]
+        n = len(item)
+        if np.isin(item, text).sum() / n < least:
+            return False
+        held = np.append(0, np.cumsum(np.isin(text, item)))
+        # at most n matches, and each further word of the range costs a point of the 2 * n * (1 - least) to spare
+        width = min(len(text), n + int(2 * n * max(0.0, 1 - least)) + 1)
+        return int((held[width:] - held[: len(held) - width]).max()) / n >= least
+
+    def _aligned(self, i: int, text: np.ndarray) -> tuple[int, int, int]:
+        """Copies of a passage are aligned once in a task."""
+        key = (i, text.tobytes())
+        if (found := self.seen.get(key)) is None:
+            if self.seen_bytes > 32 << 20:
+                self.seen, self.seen_bytes = {}, 0
+            found = self.seen[key] = align(self.words[i], text)
+            self.seen_bytes += len(key[1]) + 200
+        return found
 
     def matches(self, data: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end) for each item that reaches ``least`` in a text."""
@@ -129,7 +135,9 @@ class Items:
             while k < len(item) and item[k] == i and first[k] <= b:
                 b = max(b, int(end[k]))
                 k += 1
-            points, x, y = align(self.words[i], text[a:b])
+            if not self._may_reach(i, text[a:b], least):
+                continue
+            points, x, y = self._aligned(i, text[a:b])
             score = points / (MATCH * len(self.words[i]))
             if score >= least and (i not in out or score > out[i][1]):
                 out[i] = (self.ids[i], score, a + x, a + y)
@@ -145,31 +153,6 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
         yield Items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def _rare(docs: DataFrame, items: Items) -> Items:
-    """Count the seeds of a block in the whole corpus and keep the rare ones."""
-    keys = docs.sparkSession.sparkContext.broadcast(items.keys)
-
-    def run(batches):
-        own = keys.value
-        total, n_words = np.zeros(len(own), np.int64), 0
-        for _, datas in T.each(batches):
-            for data in datas:
-                text = words(data)
-                n_words += len(text)
-                grams = T.to_signed(T.gram_hashes(text, SEED))
-                if len(grams) and len(own):
-                    at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
-                    total += np.bincount(at[own[at] == grams], minlength=len(own))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(total[some])], ["seed", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_words], pa.int64())], ["seed", "n"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    found = {r[0]: r[1] for r in counts}
-    items.keep_rare(found, found.get(None, 0))
-    return items
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word for each contaminated pair."""
     spark = docs.sparkSession
@@ -177,7 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, blo
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for items in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(_rare(docs, items))
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
             for ids, datas in T.each(batches):
@@ -192,9 +175,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, blo
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
     spark, out, place = docs.sparkSession, docs, docs.columns.index("text")
-    texts = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for items in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(_rare(texts, items))
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -273,6 +273,28 @@ def test_decontamination(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_common_seeds_find_edited_copies(spark):
+    words = [f"q{i}" for i in range(40)]
+    edited = " ".join("other" if k % 8 == 7 else w for k, w in enumerate(words))
+    rows = [(i, edited) for i in range(150)] + [(900, " ".join(words)), (901, prose(60))]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id for r in decontamination.decontaminate(frame(spark, rows), bench).collect()}
+    assert got == {*range(150), 900}
+    kept = decontamination.drop_contaminated(frame(spark, rows), bench)
+    assert [r.doc_id for r in kept.select("doc_id").collect()] == [901]
+
+
+def test_bound_of_alignments():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        item, text = (rng.integers(0, 9, rng.integers(3, n)) for n in (15, 40))
+        items = decontamination.Items([], [])
+        items.words = [item]
+        for least in (0.3, 0.5, 0.9):
+            if decontamination.align(item, text)[0] / (2 * len(item)) >= least:
+                assert items._may_reach(0, text, least)
+
+
 def brute_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):

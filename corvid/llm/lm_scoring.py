@@ -2,13 +2,16 @@
 
 Symbols are tokens: the words of a text (A-Z lower-cased), then one end. A
 node is a context, the last one to ``max_depth`` tokens. Contexts are grown
-level by level: a context, and a next symbol under it, is taken up if it makes
-up at least ``least_share`` of all training tokens. So a level has at most
-``1 / least_share`` entries, which is the proven bound of all that is collected
-and broadcast. A context becomes a node if its next-symbol distribution diverges
-from that of its longest proper suffix: its count times the divergence (nats)
-must exceed what chance gives, ``1.5`` for each symbol plus ``10``. Contexts
-that fail the test predict as their suffix does.
+level by level: a context, and a next symbol under it, is taken up if it occurs
+``least_count`` times in training, however large the input. A context becomes a
+node if its next-symbol distribution diverges from that of its longest proper
+suffix: its count times the divergence (nats) must exceed what chance gives,
+``1.5`` for each symbol plus ``10``. Contexts that fail the test predict as
+their suffix does.
+
+The tree is collected and broadcast, and it grows with the input: nothing bounds
+it but the two tests. Before texts are scored, entries that can't change a
+score (under no node, no node, prefix of none) leave it.
 
 Distributions are smoothed by absolute discounting: each counted symbol gives
 ``discount`` of its count to the parent's distribution; the root gives it to
@@ -17,8 +20,8 @@ suffix that is known scores each position.
 
 Counts run over all training rows; each task sums its own before the shuffle,
 so what is gathered grows with the input. Base score and root need the count of
-every token, of which there is no bound: counts of tokens of at least
-``least_share`` are broadcast, the others are joined by their hash.
+every token: counts of tokens of at least ``least_count`` are broadcast, the
+others are joined by their hash.
 
 Nulls are empty texts: one token, the end. Rows with a null doc_id are scored
 as held out. Repeated rows count as often as they occur; each row is scored by
@@ -119,6 +122,14 @@ def _counts(rows: DataFrame, of) -> DataFrame:
     return rows.mapInArrow(_counting(of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Collected counts by key."""
+    found = counts.toArrow()
+    keys, n = found["key"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
 class Tree:
     """log10 probabilities of known n-grams' last symbols, log10 back-off weights of contexts."""
 
@@ -141,7 +152,26 @@ class Tree:
         return total, open_[~known]
 
 
-def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, n_all: int, root: np.ndarray, least: float, max_depth: int, discount: float) -> Tree:
+def pruned(tree: Tree) -> Tree:
+    """The tree without entries that predict as their suffix does and lead to no other."""
+    codes, logs, backs = list(tree.grams.codes), list(tree.logs), list(tree.backs)
+    width = max(len(tree.grams.words), 1)
+    for k in range(len(codes), 0, -1):  # entries of length k + 1
+        keep = backs[k - 1][codes[k - 1] // width] != 0
+        if k < len(backs):
+            keep |= backs[k] != 0
+        if k < len(codes):
+            keep[codes[k] // width] = True
+            codes[k] = (np.cumsum(keep) - 1)[codes[k] // width] * width + codes[k] % width
+        codes[k - 1], logs[k] = codes[k - 1][keep], logs[k][keep]
+        if k < len(backs):
+            backs[k] = backs[k][keep]
+    grams = Grams(tree.grams.words)
+    grams.codes = codes
+    return Tree(grams, logs, backs)
+
+
+def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, root: np.ndarray, least: int, max_depth: int, discount: float) -> Tree:
     """Learn the tree level by level from all rows of ``training``."""
     spark = training.sparkSession
     grams, sizes = Grams(words), [counts.astype(np.float64)]
@@ -156,8 +186,9 @@ def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, n_all: int,
             ok = (prefix >= 0) & (numbers[0] >= 0)
             return prefix[ok] * width + numbers[0][ok]
 
-        found = _counts(training, of).where(F.col("n") >= least).toPandas().sort_values("key")
-        codes, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+        codes, n = _sorted(_counts(training, of).where(F.col("n") >= least))
+        known.unpersist()
+        n = n.astype(np.float64)
         prefix, word = codes // width, codes % width
         # the same n-gram without its first word
         short = word if depth == 1 else _find(grams.codes[-1], suffix[prefix] * width + word)
@@ -172,20 +203,20 @@ def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, n_all: int,
         node = gap > 1.5 * np.bincount(prefix, minlength=len(size)) + 10.0
         backs.append(np.where(node, np.log10(back), 0.0))
         probs.append(np.where(node[prefix], own, probs[-1][short]))
-        grams = Grams(words)
-        grams.codes = [*known.value.codes, codes]
+        last, grams = grams, Grams(words)
+        grams.codes = [*last.codes, codes]
         sizes.append(n)
         suffix = short
         if not len(codes):
             break
-    return Tree(grams, [np.log10(p) for p in probs], backs)
+    return pruned(Tree(grams, [np.log10(p) for p in probs], backs))
 
 
-def lm_score(docs: DataFrame, least_share: float = 1e-6, max_depth: int = 3, least_count: int = 4) -> DataFrame:
+def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from the rows whose crc32 of doc_id is not 2 modulo 7. Entries of
-    the tree need ``least_share`` of all tokens and ``least_count`` at least.
+    the tree occur ``least_count`` times at least.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
@@ -193,13 +224,11 @@ def lm_score(docs: DataFrame, least_share: float = 1e-6, max_depth: int = 3, lea
     training = docs.where(~F.col("held_out")).select("doc_id", "text")
     counts = materialize(_counts(training, lambda hashes: hashes), "tokens")
     n_all, v_all, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    least = max(float(least_count), least_share * n_all)
-    often = counts.where(F.col("n") >= least).toPandas().sort_values("key")
-    words, ns = often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
+    words, ns = _sorted(counts.where(F.col("n") >= least_count))
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     unseen = max(discount * v_all, 0.5) / max(n_all, 1) if n_all else 1.0
     root = (ns - discount) / max(n_all, 1)
-    tree = spark.sparkContext.broadcast((grow(training, words, ns, n_all, root, least, max_depth, discount), np.log10(ns + 1.0)))
+    tree = spark.sparkContext.broadcast((grow(training, words, ns, root, least_count, max_depth, discount), np.log10(ns + 1.0)))
 
     def run(batches):
         model, logs1 = tree.value
@@ -221,7 +250,7 @@ def lm_score(docs: DataFrame, least_share: float = 1e-6, max_depth: int = 3, lea
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, n_open long, rare array<struct<key: long, times: long, asked: long>>"
     scored = materialize(docs.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    seldom = counts.where(F.col("n") < least)
+    seldom = counts.where(F.col("n") < least_count)
     found = (
         scored.select("row_id", F.inline("rare"))
         .join(seldom, "key")

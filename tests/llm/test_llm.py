@@ -186,6 +186,34 @@ def test_lm(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_support_is_absolute(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('a b c ', 10000)").alias("text"))
+    few = spark.createDataFrame([(1000 + i, "x y") for i in range(7)], "doc_id long, text string")
+    got = lm_scoring.lm_score(many.union(few)).where("doc_id >= 1000").collect()
+    assert len(got) == 7 and got[0].train_tokens > 7_000_000
+    assert all(r.score > -9 for r in got)  # y follows x each of the few times that x occurs
+
+
+def test_lm_pruned_tree_scores_alike():
+    rng = np.random.default_rng(3)
+    words = np.arange(4)
+    grams = lm_scoring.Grams(words)
+    grams.codes = [np.array([1, 2, 4 + 0, 4 + 3, 12 + 1]), np.array([0 * 4 + 2, 2 * 4 + 1, 2 * 4 + 2, 4 * 4 + 0])]
+    root = np.log10(np.full(4, 0.25))
+    backs = [np.array([-0.5, 0, 0, -0.2]), np.array([0, 0, -0.3, 0, 0])]
+    two = np.array([-0.7, -0.6, root[0], root[3], -0.4])  # those under no node predict as the root does
+    three = np.array([root[2], -0.9, -0.8, root[0]])
+    tree = lm_scoring.Tree(grams, [root, two, three], backs)
+    less = lm_scoring.pruned(tree)
+    assert sum(map(len, less.grams.codes)) < sum(map(len, grams.codes))
+    for _ in range(200):
+        text = rng.integers(0, 5, 12)
+        (a, b), (c, d) = tree.score(text), less.score(text)
+        assert abs(a - c) < 1e-9 and (b == d).all()
+
+
 def test_lm_sums_to_one():
     words = np.array([1, 2, 3], np.int64)
     root = np.array([0.4, 0.3, 0.2])

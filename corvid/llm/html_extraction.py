@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -187,6 +188,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((n, N_FEATURES), np.float32)
     good, bad, bad_tag = (np.zeros(n) for _ in range(3))
     base = len(KINDS)
+    kinds = [Counter(nodes[c].tag for c in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         p = max(node.parent, 0)
         g, b, t = len(node.tokens & GOOD), len(node.tokens & BAD), node.tag in BAD_TAGS
@@ -196,7 +198,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         family = nodes[p].children
         out[i, base:] = (
             node.depth, g, b, good[i], bad[i], bad_tag[i], np.log1p(own[i]), np.log1p(chars[i]), linked[i] / max(chars[i], 1), chars[i] / tags[i], words[i] / tags[i],
-            stops[i] / max(words[i], 1), len(node.children), len(family), places[i], chars[i] / total, chars[i] / max(chars[p], 1), sum(nodes[c].tag == node.tag for c in family[:64]) / max(min(len(family), 64), 1), any(nodes[c].tag == "p" for c in node.children[:64]),
+            stops[i] / max(words[i], 1), len(node.children), len(family), places[i], chars[i] / total, chars[i] / max(chars[p], 1), kinds[p][node.tag] / max(len(family), 1), kinds[i]["p"] > 0,
         )
     return out
 

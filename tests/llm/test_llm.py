@@ -377,6 +377,16 @@ def test_html(spark):
     assert html_extraction.fit(df.limit(0)) is None
 
 
+def test_html_features_read_all_children():
+    page = "<html><body><div>" + "<section>x</section>" * 70 + "<p>one</p>" * 30 + "</div></body></html>"
+    nodes = html_extraction.parse(page)
+    out = html_extraction.features(nodes)
+    div = next(i for i, n in enumerate(nodes) if n.tag == "div")
+    p = next(i for i, n in enumerate(nodes) if n.tag == "p")
+    assert out[div, -1] == 1
+    assert abs(out[p, -2] - 0.3) < 1e-6
+
+
 def test_decode_is_consistent():
     nodes = html_extraction.parse(PAGE)
     rng = np.random.default_rng(4)

@@ -50,6 +50,12 @@ def clamped_cosine(spark, sf_dir):
     return rows.groupBy("query_id", "label").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))), 5).alias("similarity"))
 
 
+@query(f"WITH {_VECTORS}, x AS (SELECT query_id, id, label, greatest(0, least(1, cosine)) AS similarity FROM s) SELECT query_id, label::BIGINT AS label, round(avg(similarity), 5)::DOUBLE AS similarity FROM x GROUP BY ALL")
+def clamped_cosine_all(spark, sf_dir):
+    """Mean clamped similarity of each question with all rows, by label."""
+    return search.label_means(*_vectors(spark, sf_dir)).withColumn("similarity", F.round("similarity", 5))
+
+
 @query(_ranked("l2", "l2", extra=", label::BIGINT AS label") + " AND label < 5")
 def vector_search_postfilter(spark, sf_dir):
     q, c = _vectors(spark, sf_dir)

@@ -168,3 +168,11 @@ def test_streamed_windows(spark, tmp_path):
         frame.writeStream.outputMode("complete" if name != "sessions" else "append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("select sum(n) from tumbling").first()[0] == events.count()
     assert spark.sql("select sum(n) from sliding").first()[0] == 2 * events.count()
+
+
+def test_label_means_cover_all_rows(spark):
+    questions = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    rows = [(i, [1.0, 0.0], 0) for i in range(30)] + [(40, [-1.0, 0.0], 7), (41, [0.0, 1.0], 8), (42, [1.0, 1.0], 8), (43, None, 9)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>, label long")
+    got = {(r.query_id, r.label): round(r.similarity, 4) for r in search.label_means(questions, corpus).collect()}
+    assert got == {(1, 0): 1.0, (1, 7): 0.0, (1, 8): 0.3536}

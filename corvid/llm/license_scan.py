@@ -7,7 +7,7 @@ digest; a hash join with the digests of known licences identifies them. The
 join looks up entire texts: the whole document, and each of its lines as a text
 of its own, which is where licence notices stand. All of it are Spark SQL
 expressions; only lines that hit are shuffled. The known licences are a list
-in this module, so the broadcast side is bounded by it.
+in this module, which is broadcast, and a table the caller may add, which is not.
 
 Null and empty texts, and texts of copyright lines alone, have no canonical
 form: digest null, nothing found. A text that equals two known licences (same
@@ -125,15 +125,21 @@ def _whole(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, _digest(F.array_join(lines, "")))
 
 
-def known_digests(spark) -> DataFrame:
-    """digest, license of the known texts, as many as the list in this module has."""
+def known_digests(spark, more: DataFrame | None = None) -> DataFrame:
+    """digest, license of the known texts: the list in this module, and those of ``more (license, text)``."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(KNOWN)], "place int, license string, text string")
-    return rows.select("place", "license", _whole(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min_by("license", "place").alias("license"))
+    if more is not None:
+        rows = rows.union(more.where("license is not null").select(F.lit(len(KNOWN)), F.col("license").cast("string"), F.col("text").cast("string")))
+    return rows.where("text is not null").select("place", "license", _whole(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min(F.struct("place", "license"))["license"].alias("license")).where("digest is not null")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license (of the whole text) and notices (licences of single lines, by name, comma-separated) of each row."""
-    known = F.broadcast(known_digests(docs.sparkSession))
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license (of the whole text) and notices (licences of single lines, by name, comma-separated) of each row.
+
+    ``more (license, text)`` are known texts besides the list in this module.
+    """
+    known = known_digests(docs.sparkSession, more)
+    known = F.broadcast(known) if more is None else known
     lines = canonical_lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
     whole = base.select("doc_id", _whole(F.col("lines")).alias("digest")).join(known, "digest", "left")

@@ -395,6 +395,14 @@ def test_decode_is_consistent():
         assert all(keep[n.parent] or not keep[i] for i, n in enumerate(nodes) if n.parent >= 0)
 
 
+def test_licenses_of_a_table(spark):
+    text = "Some Other License\n\nUse it as you like,\nbut name us.\n"
+    more = spark.createDataFrame([("Other-1.0", text), ("MIT-copy", license_scan.KNOWN[0][1]), (None, "x"), ("None", None)], "license string, text string")
+    rows = [(1, text), (2, text.replace(",\n", ", ")), (3, license_scan.KNOWN[0][1]), (4, "other"), (5, None)]
+    got = {r.doc_id: r.license for r in license_scan.scan(frame(spark, rows), more).collect()}
+    assert got == {1: "Other-1.0", 2: "Other-1.0", 3: "MIT", 4: None, 5: None}
+
+
 def test_licenses(spark):
     mit = license_scan.KNOWN[0][1]
     rows = [(1, mit.upper().replace("<year>", "2021").replace(",", " ,").replace("LICENSE", "LICENCE")), (2, "Hello\nLicensed under CC BY-NC 4.0.\nReleased under the MIT licence"), (3, None), (4, ""), (5, "Copyright 2020 me"), (6, prose(50)), (2, "again")]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a folder of the warehouse."""
@@ -15,21 +16,36 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corvid").rstrip("/")
 
 
+@contextlib.contextmanager
+def _releasing(spark: SparkSession):
+    """Spark removes a query's shuffle files when the query ends, by its own setting."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    This cuts the lineage with files that outlive any executor. The shuffle
-    files behind the written table are no longer needed; asking the driver to
-    collect its garbage lets Spark's cleaner remove them now, not at some
-    later full collection. The last events of a query hold its plan until others
-    follow, so a trivial query is run first and events are waited for.
+    This cuts the lineage with files that outlive any executor, so the shuffle
+    files behind the written table can go as soon as it stands.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvid-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sql("select 1").collect()
-    with contextlib.suppress(Py4JError):  # late events only keep files a while longer
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    with _releasing(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._corvid_path = path  # for release()
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._corvid_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -93,11 +93,21 @@ def texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[offsets[i] : offsets[i + 1]] if valid is None or valid[i] else data[:0]
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and ``most_bytes`` of text (one text may have more)."""
+    ends = np.cumsum([len(data) for data in texts(batch.column(batch.schema.get_field_index(column)))], dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def each(batches: Iterator[pa.RecordBatch], column: str = "text", key: str = "doc_id") -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and texts in small lists: at most 512 rows each."""
+    """Keys and texts in small lists: at most 512 rows and 4 MB of text each (one text may have more)."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in parts(batch, column):
             yield part.column(part.schema.get_field_index(key)).to_pylist(), list(texts(part.column(part.schema.get_field_index(column))))
 
 

@@ -28,14 +28,15 @@ Steps, with what is shuffled:
 4. their windows under shared symbols: least document for each window.
 
 Hot symbols or windows never gather in one task: step 2 and 4 aggregate
-partially before their shuffle, and the joins that follow are plain equi-joins
-whose skewed partitions Spark splits.
+partially before their shuffle and write the sums, so the joins that follow are
+plain equi-joins of two tables, whose skewed partitions Spark splits.
 
 Nulls, empty and short texts (fewer than ``window`` words) lose nothing. Of
 equal windows, the one in the smallest doc_id stays; repeats inside one
 document stay. Rows with equal doc_id count as one document's rows for
-"smaller"; null doc_id rows are returned with nothing removed. An empty table
-gives an empty result. Extra columns are ignored.
+"smaller", and each loses words by its own text; null doc_id rows are returned
+with nothing removed. An empty table gives an empty result. Extra columns are
+ignored. Very long texts are parsed as a whole, in about 60 times their bytes.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import materialize, release
 
 U64 = T.U64
 BEFORE, SPAN = 3, 8
@@ -94,6 +95,11 @@ def _words(data: np.ndarray) -> np.ndarray:
     return T.word_hashes(data, *T.word_bounds(data))
 
 
+def _tag(words: np.ndarray) -> np.uint64:
+    """31 bits that tell texts of one doc_id apart, in the upper half of a position."""
+    return np.uint64(int(T.mix(words * T.powers(0xA24BAED4963EE407 | 1, len(words))).sum(dtype=np.uint64)) >> 33 << 32)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, datas in T.each(batches):
         rows = []
@@ -125,14 +131,13 @@ def _symbols(window: int):
 def _windows(window: int):
     def run(batches):
         for batch in batches:
-            symbols = batch.column(batch.schema.get_field_index("symbols"))
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in T.parts(batch, rows=256):
                 ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+                symbols = part.column(part.schema.get_field_index("symbols"))
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for i, (d, data) in enumerate(zip(ids, T.texts(part.column(part.schema.get_field_index("text"))), strict=True)):
                     words = _words(data)
-                    shared = np.sort(np.asarray(symbols[lo + i].values.to_numpy(), np.int64).view(np.uint64))
+                    shared = np.sort(np.asarray(symbols[i].values.to_numpy(), np.int64).view(np.uint64))
                     own = window_symbols(words, window)
                     if not len(own) or not len(shared):
                         continue
@@ -140,10 +145,10 @@ def _windows(window: int):
                     out[0].append(T.gram_hashes(words, window)[at])
                     out[1].append(T.gram_hashes(words, window, 0xC2B2AE3D27D4EB4F)[at])
                     out[2].append(np.full(len(at), d, np.int64).view(np.uint64))
-                    out[3].append(at.astype(np.uint64))
+                    out[3].append(at.astype(np.uint64) + _tag(words))
                 if out[0]:
                     a, b, d, p = (T.to_signed(np.concatenate(x)) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((b >> 32).astype(np.int32)), pa.array(d), pa.array(p.astype(np.int32))], ["a", "b", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((b >> 32).astype(np.int32)), pa.array(d), pa.array(p)], ["a", "b", "doc_id", "pos"])
 
     return run
 
@@ -164,7 +169,8 @@ def _cut(window: int, keep_text: bool):
             rows = []
             for i, (d, data) in enumerate(zip(ids, T.texts(batch.column(batch.schema.get_field_index("text"))), strict=True)):
                 words = data.tobytes().split()
-                gone = covered(len(words), np.asarray(starts[i].values.to_numpy(), np.int64), window)
+                at = np.asarray(starts[i].values.to_numpy(), np.int64)
+                gone = covered(len(words), at[at >> 32 == int(_tag(_words(data))) >> 32] & 0xFFFFFFFF, window)
                 kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
                 rows.append((d, hashlib.sha256(b" ".join(words)).digest(), int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode() if keep_text else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string()))], ["doc_id", "sha", "n_removed", "kept_sha", "kept_text"])
@@ -183,19 +189,23 @@ def repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -> tuple
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = materialize(docs.mapInArrow(_profile, "doc_id long, n_words long, sha binary"), "profile")
     first = profile.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    profile = materialize(
-        profile.join(first.where("copies > 1").select("sha", "first_id"), "sha", "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)).alias("is_copy")), "copies"
-    )
+    first = materialize(first.where("copies > 1").select("sha", "first_id"), "first")
+    read = profile
+    profile = materialize(profile.join(first, "sha", "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)).alias("is_copy")), "copies")
+    release(read, first)
     symbols = docs.mapInArrow(_symbols(window), "symbol long, doc_id long")
     shared = materialize(symbols.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("symbol"), "shared")
     held = materialize(symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "held")
-    held = held.join(profile.where("is_copy").select("doc_id").distinct(), "doc_id", "left_anti")
-    texts = materialize(docs.join(held.hint("shuffle_hash"), "doc_id"), "texts")
+    # documents whose every row is a copy are settled
+    settled = profile.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("is_copy").alias("is_copy")).where("is_copy").select("doc_id")
+    texts = materialize(docs.join(held.join(settled, "doc_id", "left_anti").hint("shuffle_hash"), "doc_id"), "texts")
+    release(shared, held)
     # made anew for either side of the join: a written table of windows would take as much disk as the input
-    windows = texts.mapInArrow(_windows(window), "a long, b int, doc_id long, pos int")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    windows = texts.mapInArrow(_windows(window), "a long, b int, doc_id long, pos long")
+    least = materialize(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo"), "least")
     starts = windows.join(least, ["a", "b"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     starts = materialize(starts, "starts")  # the windows' shuffle files can go before texts are joined
+    release(least)
     cut = texts.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id").mapInArrow(_cut(window, keep_text), "doc_id long, sha binary, n_removed long, kept_sha binary, kept_text string").dropDuplicates(["doc_id", "sha"])
     return profile, cut
 
@@ -223,14 +233,21 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` without the repeated words; rows left without words go.
 
     Untouched texts stay as they are. Changed ones are their kept words joined
-    by one space, with n_chars (where the table has it) counted anew.
+    by one space, with n_chars (where the table has it) counted anew. Rows that
+    share a doc_id are told apart by their words.
     """
     profile, cut = repeats(docs, window, keep_text=True)
-    gone = profile.where(F.col("is_copy") & (F.col("n_words") >= window)).select("doc_id").distinct()
-    new = cut.select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    gone = profile.where(F.col("is_copy") & (F.col("n_words") >= window)).select("doc_id", "sha", F.lit("").alias("kept_text")).distinct()
+    new = gone.union(cut.select("doc_id", "sha", "kept_text"))
     # the row as one value: its columns can't clash with those of this operator
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").join(new.hint("shuffle_hash"), "doc_id", "left")
+    own = F.sha2(F.array_join(F.regexp_extract_all(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), " "), 256)
+    texts = F.collect_list(F.struct("sha", "kept_text"))
+    new = new.groupBy("doc_id").agg(texts.alias("new"))
+    rows = rows.join(new.hint("shuffle_hash"), "doc_id", "left")
+    same = F.filter("new", lambda x: F.lower(F.hex(x["sha"])) == own)[0]["kept_text"]
+    changed = F.when(F.col("new").isNotNull(), same)
+    rows = rows.select("row", changed.alias("kept_text"))
     changed = F.col("kept_text")
     columns = {name: F.col("row").getField(name) for name in docs.columns}
     if "n_chars" in columns:

@@ -127,19 +127,51 @@ def test_jaccard(spark, seed):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
 
 
-def test_signatures_never_miss():
+def test_heads_share_what_their_bound_says():
     rng = np.random.default_rng(3)
-    zones = ngram_jaccard.Zones(85)
+    linked = 0
     for _ in range(3000):
-        n = int(rng.integers(6, 200))
-        a = np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64))
+        percent = int(rng.choice([51, 70, 85, 95, 100]))
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 1 << 60, n))
         drop = int(rng.integers(0, max(2, n // 8)))
         extra = int(rng.integers(0, max(2, n // 8)))
-        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 60, extra, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 60, extra)]))
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if len(a) != both or len(b) != both:
-            if 100 * both >= 85 * either:
-                assert len(np.intersect1d(ngram_jaccard.signatures(a, zones), ngram_jaccard.signatures(b, zones)))
+        if both and 100 * both >= percent * either:
+            linked += 1
+            shared = len(np.intersect1d(ngram_jaccard.head(a, percent), ngram_jaccard.head(b, percent)))
+            assert shared >= max(ngram_jaccard.least_shared(len(a), percent), ngram_jaccard.least_shared(len(b), percent))
+    assert linked > 500
+
+
+def test_jaccard_of_groups(spark):
+    """A group around an original that isn't its least id, copies too far from each other, a passage that all share."""
+    rnd = random.Random(8)
+    rows = []
+
+    def edited(words, times):
+        w = list(words)
+        for at in rnd.sample(range(len(w)), times):
+            w[at] = f"e{rnd.randrange(10**9)}"
+        return " ".join(w)
+
+    hub, passage = prose(200).split(), prose(60)
+    rows += [(k, edited(hub, 3)) for k in range(30)] + [(30, " ".join(hub))]
+    rows += [(100 + k, edited(prose(300).split(), 0) + " " + passage) for k in range(20)]
+    far = prose(200).split()
+    rows += [(200 + k, edited(far, 9)) for k in range(20)]
+    rows += [(300 + k, passage) for k in range(5)] + [(400, passage + " " + prose(2)), (401, passage.upper())]
+    want = brute_components(rows)
+    got = by_id(ngram_jaccard.near_duplicates(frame(spark, rows)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
+    assert len({c for d, (_, c) in want.items() if d <= 30}) == 1 and len({c for d, (_, c) in want.items() if 200 <= d < 220}) > 10
+
+
+def test_jaccard_of_one_doc_id_with_two_texts(spark):
+    a, b = prose(40), prose(40)
+    got = ngram_jaccard.near_duplicates(frame(spark, [(5, a), (5, b), (3, a), (9, b), (9, b)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (9, 5), (9, 5)]
 
 
 def test_components(spark):
@@ -456,3 +488,17 @@ def test_pipeline(spark, tmp_path):
     want = {d: " ".join(cut[d][0]) if cut[d][1] else t for d, t in left if d != 500}
     want = {d: t for d, t in want.items() if t}
     assert {d: r.decoded_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+
+
+def test_one_doc_id_with_two_texts(spark):
+    from corvid.llm import ngram_jaccard as J
+
+    a, b, c = prose(40), prose(40), prose(30)
+    rows = [(1, a), (2, b), (5, a), (5, f"{c} {b}"), (5, f"{c} {b}"), (6, c)]
+    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect())
+    assert got == [(1, 0), (2, 0), (5, 40), (5, 40), (5, 40), (6, 30)]
+    left = sorted((r.doc_id, r.text) for r in substring_dedup.drop_repeats(frame(spark, rows)).collect())
+    assert left == sorted([(1, a), (2, b), (5, c), (5, c)])
+    kept = J.drop_near_duplicates(frame(spark, rows + [(8, None), (8, None), (None, a)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text and r.doc_id) == sorted([(1, a), (2, b), (5, f"{c} {b}"), (6, c)])
+    assert [r.text for r in kept if r.doc_id is None] == [a] and sum(r.doc_id == 8 for r in kept) == 1

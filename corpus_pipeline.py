@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvid._ship import ship
 from corvid.llm import byte_bpe, decontamination, language_id, ngram_jaccard, substring_dedup
@@ -29,16 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component (4-word shingles, similarity 0.85)."""
     ship(spark)
-    classes = ngram_jaccard.near_duplicates(docs, n=4, percent=85)
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    # the row as one value: its columns can't clash; of repeated rows one stays, rows without doc_id all do
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
-        first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
-        kept = kept.join(twice, "doc_id", "left_anti").union(first)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return ngram_jaccard.drop_near_duplicates(docs, n=4, percent=85)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

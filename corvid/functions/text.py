@@ -111,7 +111,7 @@ def score_band(x: Column) -> Column:
 
 def parse_score(x: Column) -> Column:
     """A number made of digits and points, else 0.5."""
-    return F.coalesce(F.when(F.replace(x, F.lit("."), F.lit("")).rlike(r"^[0-9]+$"), F.try_to_number(x, F.lit("999999.999999")).cast("double")), F.lit(0.5))
+    return F.coalesce(F.when(F.replace(x, F.lit("."), F.lit("")).rlike(r"^[0-9]+$"), x.try_cast("double")), F.lit(0.5))
 
 
 def says_yes(x: Column) -> Column:

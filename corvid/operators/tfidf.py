@@ -10,14 +10,17 @@ only the terms that are asked for.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .search import BLOCK_BYTES, SCORE_BYTES, best, first_k
 
 _WORD = re.compile(r"\w{2,}")
 _STOP = frozenset(C.STOP_WORDS)
@@ -80,11 +83,67 @@ def weights(docs: DataFrame, idf: dict[str, float], key: str, pairs: bool = True
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(weigh, f"{key} long, term string, weight double")
 
 
-def search(questions: DataFrame, docs: DataFrame, limit: int = C.TFIDF_FEATURES, digits: int = 6) -> DataFrame:
-    """(query_id, id, score) of all pairs that share a term; ``questions (query_id, text)``, ``docs (id, text)``."""
+class Scorer:
+    """Scores texts against questions: a product of two sparse matrices of unit rows, in memory for a batch."""
+
+    def __init__(self, idf: dict[str, float], questions: list[str | None], pairs: bool = True):
+        self.idf, self.pairs, self.count = idf, pairs, len(questions)
+        asked: dict[str, list[tuple[int, float]]] = {}
+        for q, text in enumerate(questions):
+            for term, w in self._unit(text).items():
+                asked.setdefault(term, []).append((q, w))
+        self.asked = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in asked.items()}
+
+    def _unit(self, text: str | None) -> dict[str, float]:
+        own = {t: n * self.idf[t] for t, n in Counter(grams(text, self.pairs)).items() if t in self.idf}
+        size = sum(w * w for w in own.values()) ** 0.5
+        return {t: w / size for t, w in own.items()}
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Questions by texts."""
+        out = np.zeros((self.count, len(texts)))
+        for j, text in enumerate(texts):
+            for t, w in self._unit(text).items():
+                if (found := self.asked.get(t)) is not None:
+                    out[found[0], j] += found[1] * w
+        return out
+
+
+def sparse_scores(scorer: Scorer, column: int):
+    """TF-IDF products of questions with the texts of a batch's column."""
+    return functools.partial(_sparse, scorer, column)
+
+
+def _sparse(scorer: Scorer, column: int, batch: pa.RecordBatch) -> np.ndarray:
+    return scorer.scores(batch.column(column).to_pylist())
+
+
+def search(questions: DataFrame, docs: DataFrame, k: int = C.TOP_K, limit: int = C.TFIDF_FEATURES, digits: int = 6) -> DataFrame:
+    """query_id, id, score, rank of the best ``k`` of ``docs (id, text)`` for each of ``questions (query_id, text)``; texts that share no term are left out.
+
+    Questions are the stated query set, broadcast in blocks of bounded size;
+    each batch of documents hands on its own best ``k``.
+    """
+    spark, schema = docs.sparkSession, "query_id long, id long, score double"
     idf = vocabulary(term_stats(docs, limit))
-    q = weights(questions, idf, "query_id")
-    asked = frozenset(r[0] for r in q.select("term").distinct().collect())  # terms of the vocabulary
-    d = weights(docs, idf, "id", only=asked)
-    pairs = q.select("query_id", "term", F.col("weight").alias("_q")).join(d, "term")
-    return pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("_q") * F.col("weight")), digits).alias("score"))
+    hits = spark.createDataFrame([], schema)
+    total = questions.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    count = -(-total // BLOCK_BYTES)
+    for block in range(count):
+        rows = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == block).orderBy("query_id").toPandas()
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), Scorer(idf, rows["text"].tolist())))
+
+        def run(batches, shared=shared):
+            own, scorer = shared.value
+            for batch in batches:
+                step = max(1, SCORE_BYTES // (16 * len(own)))
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    ids, score = part.column(0).to_numpy(), np.round(scorer.scores(part.column(1).to_pylist()), digits)
+                    order = first_k(-score, ids, k)
+                    values = np.take_along_axis(score, order, 1).ravel()
+                    some = values > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])[some]), pa.array(ids[order].ravel()[some]), pa.array(values[some])], ["query_id", "id", "score"])
+
+        hits = hits.union(docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, schema))
+    return best(hits, k, "score", descending=True)

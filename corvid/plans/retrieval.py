@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -41,19 +42,12 @@ def cosine_topk(spark, sf_dir):
     return search.top_k(*_vectors(spark, sf_dir), kind="cosine")
 
 
-@query(f"""WITH {_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s)
-SELECT query_id, label::BIGINT AS label, round(avg(greatest(0, least(1, cosine))), 5)::DOUBLE AS similarity FROM r WHERE rank <= 20 GROUP BY ALL""")
+@query(f"""WITH {_VECTORS}, x AS (SELECT query_id, label, round(greatest(0, least(1, cosine)) * 1000000)::BIGINT AS micro FROM s)
+SELECT query_id, label::BIGINT AS label, ((2 * sum(micro) + 10 * count(*)) // (20 * count(*)))::DOUBLE / 100000 AS similarity FROM x GROUP BY ALL""")
 def clamped_cosine(spark, sf_dir):
-    """Mean clamped similarity of each question's best 20 rows, by label."""
-    q, c = _vectors(spark, sf_dir)
-    rows = search.top_k(q, c, 20, "cosine").join(c.select("id", "label"), "id")
-    return rows.groupBy("query_id", "label").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))), 5).alias("similarity"))
-
-
-@query(f"WITH {_VECTORS}, x AS (SELECT query_id, id, label, greatest(0, least(1, cosine)) AS similarity FROM s) SELECT query_id, label::BIGINT AS label, round(avg(similarity), 5)::DOUBLE AS similarity FROM x GROUP BY ALL")
-def clamped_cosine_all(spark, sf_dir):
     """Mean clamped similarity of each question with all rows, by label."""
-    return search.label_means(*_vectors(spark, sf_dir)).withColumn("similarity", F.round("similarity", 5))
+    mean = F.expr("((2 * micro + 10 * n) div (20 * n)) / 100000.0D")  # five digits, half up
+    return search.label_means(*_vectors(spark, sf_dir)).select("query_id", "label", mean.alias("similarity"))
 
 
 @query(_ranked("l2", "l2", extra=", label::BIGINT AS label") + " AND label < 5")
@@ -131,7 +125,7 @@ def _top(rel: str, k: int, score: str = "score") -> str:
 @query(f"WITH {_TFIDF} SELECT query_id, id, score, rank::BIGINT AS rank FROM {_top('sparse', 5)}")
 def tfidf_search(spark, sf_dir):
     q, d = _texts(spark, sf_dir)
-    return search.best(tfidf.search(q, d), 5, "score", descending=True)
+    return tfidf.search(q, d, 5)
 
 
 def _hashed_sql(name: str, key: str, rel: str) -> str:
@@ -173,20 +167,32 @@ def _scaled(rel: str, score: str) -> str:
     return f"CASE WHEN max({score}) OVER w = min({score}) OVER w THEN 1.0 ELSE ({score} - min({score}) OVER w) / (max({score}) OVER w - min({score}) OVER w) END"
 
 
-_HYBRID = f"""WITH {_TFIDF}, {_DENSE},
-f AS (SELECT query_id, id, coalesce(d.score, 0) AS dr, coalesce(s.score, 0) AS sr FROM {_top('dense', 100)} d FULL JOIN {_top('sparse', 100)} s USING (query_id, id)),
+#: Every question with every document; what a side lacks is 0.
+_PAIRS = """
+f AS (SELECT b.item_id AS query_id, x.doc_id AS id, coalesce(d.score, 0) AS dr, coalesce(s.score, 0) AS sr FROM benchmark b CROSS JOIN documents x
+  LEFT JOIN dense d ON d.query_id = b.item_id AND d.id = x.doc_id LEFT JOIN sparse s ON s.query_id = b.item_id AND s.id = x.doc_id)"""
+_HYBRID = f"""WITH {_TFIDF}, {_DENSE}, {_PAIRS},
 n AS (SELECT query_id, id, {_scaled('f', 'dr')} AS ds, {_scaled('f', 'sr')} AS ss FROM f WINDOW w AS (PARTITION BY query_id)),
 hy AS (SELECT query_id, id, round(ds, 6)::DOUBLE AS dense_score, round(ss, 6)::DOUBLE AS sparse_score, round(ds * 0.5::DOUBLE + ss * 0.5::DOUBLE, 6)::DOUBLE AS hybrid_score FROM n)"""
 
 
-def _fused(spark, sf_dir, k):
-    q, d = _texts(spark, sf_dir)
-    return search.fuse(dense_hits(q, d, 100), search.best(tfidf.search(q, d), 100, "score", descending=True), k=k)
+def _sides(q, d):
+    """All documents with text and vector, questions alike, and makers of both scores."""
+    idf = tfidf.vocabulary(tfidf.term_stats(d))
+    corpus = d.select(F.col("id").cast("long").alias("id"), "text", hashed_embedding(F.col("text")).alias("vector")).where("text is not null")
+    questions = q.select("query_id", "text", hashed_embedding(F.col("text")).alias("vector")).where("text is not null")
+    dense = lambda rows: search.dense_scores(np.array(rows["vector"].tolist(), float), 2)
+    sparse = lambda rows: tfidf.sparse_scores(tfidf.Scorer(idf, rows["text"].tolist()), 1)
+    return questions, corpus, dense, sparse
+
+
+def _fused(spark, sf_dir, k, alpha=C.HYBRID_ALPHA):
+    return search.fused(*_sides(*_texts(spark, sf_dir)), lambda a, b: a * alpha + b * (1 - alpha), ("dense_score", "sparse_score", "hybrid_score"), k)
 
 
 @query(f"{_HYBRID} SELECT query_id, id, dense_score, sparse_score, hybrid_score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) AS rank FROM hy) WHERE rank <= 5")
 def hybrid_search(spark, sf_dir):
-    """Candidates are the best 100 of either side."""
+    """Both scores are scaled over all documents."""
     return _fused(spark, sf_dir, 5)
 
 
@@ -195,26 +201,25 @@ _KSCORE = f"round(CASE WHEN len({_KEYS}) > 0 THEN len(list_filter({_KEYS}, lambd
 
 
 @query(f"""WITH {_DENSE},
-k AS (SELECT t.query_id, t.id, t.score AS dr, {_KSCORE} AS kr FROM {_top('dense', 20)} t JOIN benchmark b ON b.item_id = t.query_id JOIN documents d ON d.doc_id = t.id),
+k AS (SELECT b.item_id AS query_id, d.doc_id AS id, coalesce(t.score, 0) AS dr, {_KSCORE} AS kr FROM benchmark b CROSS JOIN documents d LEFT JOIN dense t ON t.query_id = b.item_id AND t.id = d.doc_id),
 n AS (SELECT query_id, id, {_scaled('k', 'dr')} AS ds, {_scaled('k', 'kr')} AS ks FROM k WINDOW w AS (PARTITION BY query_id)),
 s AS (SELECT query_id, id, round(ds, 6)::DOUBLE AS dense_score, round(ks, 6)::DOUBLE AS keyword_score, round(ds * (1 + ks), 6)::DOUBLE AS boosted_score FROM n)
 SELECT *, FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted_score DESC, id)::BIGINT AS rank FROM s) WHERE rank <= 5""")
 def keyword_boost_search(spark, sf_dir):
+    """Dense and keyword scores of all documents, scaled; keywords raise the dense score."""
     q, d = _texts(spark, sf_dir)
-    keys = q.select("query_id", X.keywords(F.col("text")).alias("ks"))
-    hits = dense_hits(q, d, 20).join(keys, "query_id").join(d.select("id", "text"), "id")
-    rows = hits.select("query_id", "id", F.col("score").alias("dense_raw"), F.round(X.keyword_score(F.col("ks"), F.lower("text")), 6).alias("keyword_raw"))
-    return search.boosted(rows)
+    questions, corpus, dense, _ = _sides(q, d)
+    questions = questions.withColumn("keys", X.keywords(F.col("text")))
+    keys = lambda rows: search.keyword_scores([list(x) for x in rows["keys"]], 1)
+    return search.fused(questions, corpus, dense, keys, lambda a, b: a * (1 + (C.KEYWORD_BOOST - 1) * b), ("dense_score", "keyword_score", "boosted_score"))
 
 
-@query(f"""WITH {_TFIDF}, {_DENSE},
-u AS (SELECT query_id, id, score AS a, 0.0 AS b FROM {_top('dense', 100)} UNION ALL SELECT query_id, id, 0.0, score FROM {_top('sparse', 100)}),
-g AS (SELECT query_id, id, sum(a)::DOUBLE AS dense_score, sum(b)::DOUBLE AS sparse_score FROM u GROUP BY ALL),
-s AS (SELECT *, round(dense_score * (2.0::DOUBLE / 3) + sparse_score * (1.0::DOUBLE / 3), 6)::DOUBLE AS combined_score FROM g)
+@query(f"""WITH {_TFIDF}, {_DENSE}, {_PAIRS},
+s AS (SELECT query_id, id, dr::DOUBLE AS dense_score, sr::DOUBLE AS sparse_score, round(dr * (2.0::DOUBLE / 3) + sr * (1.0::DOUBLE / 3), 6)::DOUBLE AS combined_score FROM f)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, id)::BIGINT AS rank FROM s) WHERE rank <= 5""")
 def multi_vector_search(spark, sf_dir):
-    q, d = _texts(spark, sf_dir)
-    return search.combined({"dense": dense_hits(q, d, 100), "sparse": search.best(tfidf.search(q, d), 100, "score", descending=True)}, {"dense": 2.0, "sparse": 1.0})
+    """Weights 2 and 1, scaled to a sum of 1, on the raw scores of all documents."""
+    return search.fused(*_sides(*_texts(spark, sf_dir)), lambda a, b: a * (2.0 / 3) + b * (1.0 / 3), ("dense_score", "sparse_score", "combined_score"), scale=False)
 
 
 _VARIANTS = ", ".join(
@@ -311,7 +316,7 @@ SELECT query_id, (list_contains(sources, 'src' || (query_id % 20)) AND NOT list_
 def retrieval_precision_check(spark, sf_dir):
     """Whether an expected source is among the hits and a forbidden one is not."""
     q, d = _texts(spark, sf_dir)
-    hits = search.best(tfidf.search(q, d), 5, "score", descending=True).join(d.select("id", "source"), "id")
+    hits = tfidf.search(q, d, 5).join(d.select("id", "source"), "id")
     want, bar = (F.concat(F.lit("src"), ((F.col("query_id") + k) % 20).cast("string")) for k in (0, 1))
     return hits.groupBy("query_id").agg((F.bool_or(F.col("source") == want) & ~F.bool_or(F.col("source") == bar)).alias("precise"))
 

@@ -143,12 +143,13 @@ def export_csv(spark, sf_dir):
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
-@query("""SELECT e.vec_id, d.source, substr(d.text, 1, 500) AS content, len(e.embedding)::BIGINT AS dim
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""")
+@query("""SELECT e.vec_id, d.source, i::BIGINT AS chunk_ord, substr(d.text, i * 450 + 1, 500) AS content, len(e.embedding)::BIGINT AS dim
+FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, unnest(range((length(text) + 449) // 450)) AS u(i)""")
 def attach_embeddings(spark, sf_dir):
-    first = chunk.fixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where("chunk_ord = 0")
+    """Every chunk of a document with the document's vector."""
+    chunks = chunk.fixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectors.join(first, F.col("vec_id") == F.col("doc_id")).select("vec_id", "source", "content", F.size("embedding").cast("long").alias("dim"))
+    return vectors.join(chunks, F.col("vec_id") == F.col("doc_id")).select("vec_id", "source", F.col("chunk_ord").cast("long").alias("chunk_ord"), "content", F.size("embedding").cast("long").alias("dim"))
 
 
 @query(f"""

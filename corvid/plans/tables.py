@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from .common import TOKEN, query, table
 
 def _place(spark) -> str:
     """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/corvid-{uuid.uuid4().hex}"
 
 

@@ -44,17 +44,56 @@ from ._store import materialize
 _END = np.uint64(1)
 
 
-def tokens(data: np.ndarray) -> np.ndarray:
-    """Hashes of a text's tokens, the end included, as signed integers."""
-    return T.to_signed(np.append(T.word_hashes(data, *T.word_bounds(data), lower=True), _END))
+def tokens(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, one text after the other, as signed integers; the number of tokens of each text."""
+    joined = np.frombuffer(b"\n".join(datas), np.uint8)
+    starts, ends = T.word_bounds(joined)
+    after = np.cumsum([len(data) + 1 for data in datas], dtype=np.int64)
+    sizes = np.diff(np.searchsorted(starts, after), prepend=0) + 1
+    out = np.full(len(starts) + len(datas), _END)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out[word] = T.word_hashes(joined, starts, ends, lower=True)
+    return T.to_signed(out), sizes
+
+
+class _Index:
+    """Places of distinct integers, found by buckets of their scrambled values."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.int64, copy=False)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        bucket = self._bucket(self.keys)
+        self.place = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.start = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << (64 - int(self.shift))))).astype(np.int32)
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys``, -1 where absent."""
+        keys = np.ascontiguousarray(keys, dtype=np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        bucket = self._bucket(keys)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, keys = at[left], end[left], keys[left]
+        while len(left):
+            place = self.place[at]
+            hit = self.keys[place] == keys
+            out[left[hit]] = place[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, keys = left[more], at[more], end[more], keys[more]
+        return out
 
 
-def _find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Places of ``codes`` in a sorted array, -1 where absent."""
-    if not len(sorted_codes):
-        return np.full(len(codes), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return np.where(sorted_codes[at] == codes, at, -1)
+def _before(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What stands one position earlier in the same text, -1 at its first."""
+    out = np.empty_like(numbers)
+    out[1:] = numbers[:-1]
+    out[np.cumsum(sizes) - sizes] = -1
+    return out
 
 
 class Grams:
@@ -63,57 +102,47 @@ class Grams:
     def __init__(self, words: np.ndarray):
         self.words = words  # sorted hashes
         self.codes: list[np.ndarray] = []  # for lengths 2, 3, ...: prefix * len(words) + word, sorted
+        self._indexes: list[_Index] = []
+
+    def __getstate__(self):
+        return self.__dict__ | {"_indexes": []}  # each process makes its own
 
-    def numbers(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """For each length the number of the known n-gram that ends at each position, else -1."""
-        word = _find(self.words, hashes)
+    def index(self, k: int) -> _Index:
+        """Finds n-grams of length k + 1: words by their hash, others by their code."""
+        while len(self._indexes) <= k:
+            self._indexes.append(_Index([self.words, *self.codes][len(self._indexes)]))
+        return self._indexes[k]
+
+    def numbers(self, hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """For each length the number of the known n-gram that ends at each position, else -1; texts have ``sizes`` tokens."""
+        word = self.index(0).find(hashes)
         out = [word]
-        for codes in self.codes:
-            prefix = np.append(-1, out[-1][:-1])
+        for k in range(1, len(self.codes) + 1):
+            prefix = _before(out[-1], sizes)
             both = np.flatnonzero((prefix >= 0) & (word >= 0))
             here = np.full(len(word), -1, np.int64)
-            here[both] = _find(codes, prefix[both] * len(self.words) + word[both])
+            here[both] = self.index(k).find(prefix[both] * len(self.words) + word[both])
             out.append(here)
         return out
 
 
-class _Sums:
-    """Counts of a task by key; handed on when many keys have gathered."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.keys, self.ns, self.size = most, [], [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        if len(keys):
-            k, n = np.unique(keys, return_counts=True)
-            self.keys.append(k)
-            self.ns.append(n)
-            self.size += len(k)
-
-    def _settle(self) -> None:
-        keys, ns = np.concatenate(self.keys), np.concatenate(self.ns)
-        order = np.argsort(keys, kind="stable")
-        keys, ns = keys[order], ns[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        self.keys, self.ns, self.size = [keys[first]], [np.add.reduceat(ns, first)], len(first)
-
-    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.size > 2 * self.most or last and self.size:
-            self._settle()
-            if last or self.size > self.most:
-                yield pa.RecordBatch.from_arrays([pa.array(self.keys[0]), pa.array(self.ns[0].astype(np.int64))], ["key", "n"])
-                self.keys, self.ns, self.size = [], [], 0
+def _counting(of, most: int = 4_000_000):
+    """A mapper that counts the keys which ``of`` makes from texts' token hashes; sums are handed on for each ``most`` keys."""
 
-
-def _counting(of):
-    """A mapper that counts the keys which ``of`` makes from a text's token hashes."""
+    def summed(found):
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
     def run(batches):
-        sums = _Sums()
+        found, size = [], 0
         for _, datas in T.each(batches):
-            sums.add(np.concatenate([of(tokens(d)) for d in datas]) if datas else np.zeros(0, np.int64))
-            yield from sums.batches()
-        yield from sums.batches(last=True)
+            found.append(of(*tokens(datas)))
+            size += len(found[-1])
+            if size >= most:
+                yield summed(found)
+                found, size = [], 0
+        if size:
+            yield summed(found)
 
     return run
 
@@ -136,20 +165,31 @@ class Tree:
     def __init__(self, grams: Grams, logs: list[np.ndarray], backs: list[np.ndarray]):
         self.grams, self.logs, self.backs = grams, logs, backs
 
-    def score(self, hashes: np.ndarray) -> tuple[float, np.ndarray]:
-        """log10 probability without the root's share for unknown words, and which words those are."""
-        numbers = self.grams.numbers(hashes)
-        total, open_ = 0.0, np.arange(len(hashes))
+    def scores(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its log10 probability without the root's share for unknown words; which words those are; numbers of all words."""
+        numbers = self.grams.numbers(hashes, sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        total, open_ = np.zeros(len(sizes)), np.arange(len(hashes))
+
+        def add(where: np.ndarray, values: np.ndarray) -> None:
+            nonlocal total
+            total = total + np.bincount(text[where], values, len(sizes))
+
         for k in range(len(numbers) - 1, 0, -1):
-            context = np.append(-1, numbers[k - 1][:-1])[open_]
+            context = _before(numbers[k - 1], sizes)[open_]
             hit = numbers[k][open_] >= 0
-            total += float(self.logs[k][numbers[k][open_[hit]]].sum())
+            add(open_[hit], self.logs[k][numbers[k][open_[hit]]])
             missed = (context >= 0) & ~hit
-            total += float(self.backs[k - 1][context[missed]].sum())
+            add(open_[missed], self.backs[k - 1][context[missed]])
             open_ = open_[~hit]
         known = numbers[0][open_] >= 0
-        total += float(self.logs[0][numbers[0][open_[known]]].sum())
-        return total, open_[~known]
+        add(open_[known], self.logs[0][numbers[0][open_[known]]])
+        return total, open_[~known], numbers[0]
+
+    def score(self, hashes: np.ndarray) -> tuple[float, np.ndarray]:
+        """``scores`` of one text."""
+        total, open_, _ = self.scores(hashes, np.array([len(hashes)]))
+        return float(total[0]), open_
 
 
 def pruned(tree: Tree) -> Tree:
@@ -180,10 +220,11 @@ def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, root: np.nd
     for depth in range(1, max_depth + 1):
         known = spark.sparkContext.broadcast(grams)
 
-        def of(hashes, known=known, width=width):
-            numbers = known.value.numbers(hashes)
-            prefix = np.append(-1, numbers[-1][:-1])
-            ok = (prefix >= 0) & (numbers[0] >= 0)
+        def of(hashes, sizes, known=known, width=width):
+            numbers = known.value.numbers(hashes, sizes)
+            prefix = _before(numbers[-1], sizes)
+            # an n-gram without its first word occurs as often at least, so it must be known too
+            ok = (prefix >= 0) & (numbers[-1] >= 0)
             return prefix[ok] * width + numbers[0][ok]
 
         codes, n = _sorted(_counts(training, of).where(F.col("n") >= least))
@@ -191,7 +232,7 @@ def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, root: np.nd
         n = n.astype(np.float64)
         prefix, word = codes // width, codes % width
         # the same n-gram without its first word
-        short = word if depth == 1 else _find(grams.codes[-1], suffix[prefix] * width + word)
+        short = word if depth == 1 else grams.index(depth - 1).find(suffix[prefix] * width + word)
         # an n-gram's suffix is at least as frequent; guard against hash ties only
         ok = short >= 0
         codes, n, prefix, short = codes[ok], n[ok], prefix[ok], short[ok]
@@ -222,7 +263,7 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     training = docs.where(~F.col("held_out")).select("doc_id", "text")
-    counts = materialize(_counts(training, lambda hashes: hashes), "tokens")
+    counts = materialize(_counts(training, lambda hashes, sizes: hashes), "tokens")
     n_all, v_all, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     words, ns = _sorted(counts.where(F.col("n") >= least_count))
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -232,21 +273,29 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
 
     def run(batches):
         model, logs1 = tree.value
-        for batch in batches:
-            get = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: E731, B023
-            rows, rare = [], []
-            for d, h, data in zip(get("doc_id").to_pylist(), get("held_out").to_pylist(), T.texts(get("text")), strict=True):
-                hashes = tokens(data)
-                score, open_ = model.score(hashes)
-                at = _find(model.grams.words, hashes)
-                # of rare words: how often in all, and how often scored by the root
-                own, where = np.unique(hashes[at < 0], return_inverse=True)
-                asked = np.isin(np.flatnonzero(at < 0), open_)
-                rare.append([{"key": k, "times": t, "asked": a} for k, t, a in zip(own.tolist(), np.bincount(where, minlength=len(own)).tolist(), np.bincount(where, asked, len(own)).astype(int).tolist(), strict=True)])
-                rows.append((d, h, len(hashes), int((at >= 0).sum()), float(logs1[at[at >= 0]].sum()), score, len(open_)))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            item = pa.struct([("key", pa.int64()), ("times", pa.int64()), ("asked", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(rare, pa.list_(item))], ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "n_open", "rare"])
+        for part in (part for batch in batches for part in T.parts(batch)):
+            get = lambda k: part.column(part.schema.get_field_index(k))  # noqa: E731, B023
+            hashes, sizes = tokens(list(T.texts(get("text"))))
+            score, open_, at = model.scores(hashes, sizes)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            seen = np.flatnonzero(at >= 0)
+            # of rare words: how often in a text, and how often scored by the root
+            asked = np.zeros(len(hashes), np.int64)
+            asked[open_] = 1
+            rare = np.flatnonzero(at < 0)
+            rare = rare[np.lexsort((hashes[rare], text[rare]))]
+            key, of = hashes[rare], text[rare]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(rare)])
+            times = np.diff(np.append(first, len(rare)))
+            asked = np.add.reduceat(asked[rare], first) if len(first) else times
+            items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times), pa.array(asked)], ["key", "times", "asked"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(sizes) + 1)).astype(np.int32)), items)
+            logs = np.bincount(text[seen], logs1[at[seen]], len(sizes))
+            known, n_open = (np.bincount(text[where], minlength=len(sizes)) for where in (seen, open_))
+            yield pa.RecordBatch.from_arrays(
+                [get("doc_id"), get("held_out"), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(score), pa.array(n_open), rare],
+                ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "n_open", "rare"],
+            )
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, n_open long, rare array<struct<key: long, times: long, asked: long>>"
     scored = materialize(docs.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored")

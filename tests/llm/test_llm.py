@@ -218,6 +218,48 @@ def test_lm(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_brute(spark):
+    import zlib
+    from collections import Counter
+    from math import log, log10
+
+    rows, least, depth = corpus() * 3, 3, 3
+    tokens = {d: [x.lower() for x in split(t)] + ["\n"] for d, t in rows}
+    count = Counter()
+    for d, _ in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = tokens[d]
+            count.update(tuple(w[i : i + k]) for k in range(1, depth + 2) for i in range(len(w) - k + 1))
+    ones = {g: n for g, n in count.items() if len(g) == 1}
+    total, singles, pairs = sum(ones.values()), sum(n == 1 for n in ones.values()), sum(n == 2 for n in ones.values())
+    off = singles / (singles + 2 * pairs) if singles and pairs else 0.5
+    prob, back, nodes = {g: (n - off) / total for g, n in ones.items()}, {}, 0
+    for k in range(1, depth + 1):
+        under = {}
+        for g, n in count.items():
+            if len(g) == k + 1 and n >= least:
+                under.setdefault(g[:-1], []).append((g, n))
+        for c, found in under.items():
+            rest = max(1e-12, 1 - sum(n - off for _, n in found) / count[c])
+            own = {g: (n - off) / count[c] + rest * prob[g[1:]] for g, n in found}
+            node = sum(n * log(own[g] / prob[g[1:]]) for g, n in found) > 1.5 * len(found) + 10
+            nodes += node
+            prob |= {g: own[g] if node else prob[g[1:]] for g, _ in found}
+            back[c] = rest if node else 1
+    assert nodes > 20
+    unseen = max(off * len(ones), 0.5) / total
+    for r in lm_scoring.lm_score(frame(spark, rows), max_depth=depth, least_count=least).collect():
+        w, want = tuple(tokens[r.doc_id]), 0.0
+        for i in range(len(w)):
+            for k in range(min(i, depth), -1, -1):
+                g = w[i - k : i + 1]
+                if g in prob:
+                    want += log10(prob[g])
+                    break
+                want += log10(back.get(g[:-1], 1)) if k else log10(unseen)
+        assert abs(r.score - want) < 1e-6 * max(1, len(w))
+
+
 def test_lm_support_is_absolute(spark):
     from pyspark.sql import functions as F
 

@@ -76,6 +76,13 @@ def gram_hashes(words: np.ndarray, n: int, mult: int = 0xD6E8FEB86659FD93) -> np
     return mix(out)
 
 
+def span_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[lo:hi]``."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_MULT, len(values)), out=total[1:])
+    return mix((total[hi] - total[lo]) * powers(_INV, len(values))[lo] + (hi - lo).astype(np.uint64))
+
+
 def texts(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each value as uint8 views; nulls give no bytes."""
     if isinstance(column, pa.ChunkedArray):

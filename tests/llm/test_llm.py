@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from corvid.llm import byte_bpe, decontamination, html_extraction, language_id, license_scan, lm_scoring, ngram_jaccard, quality_rules, substring_dedup, toxicity
+from corvid.llm import _text as T
 from corvid.llm._components import components
 
 RND = random.Random(5)
@@ -91,6 +92,65 @@ def test_every_window_has_a_symbol():
     assert (substring_dedup.window_symbols(words)[10:28] == substring_dedup.window_symbols(other)[9:27]).all()
 
 
+def test_stretches_are_repeats_and_hold_most_of_them():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 5000, 400).astype(np.uint64) for _ in range(6)]
+    texts[1][100:300] = texts[0][50:250]  # a long repeat
+    texts[3][20:80] = 7  # runs of one word, of two lengths
+    texts[4][200:290] = 7
+    texts[5][:] = texts[2]
+    texts[5][200] = 9999  # an edited copy
+    words = T.mix(np.concatenate(texts))
+    doc = np.repeat(np.arange(6), 400)
+    opens, ends = np.arange(len(words)) % 400 == 0, (doc + 1) * 400
+    first: dict = {}
+    later = np.zeros(len(words), bool)
+    for i in range(len(words) - 12):
+        if i + 13 <= ends[i]:
+            later[i] = first.setdefault(words[i : i + 13].tobytes(), doc[i]) < doc[i]
+    a, b, at, length = substring_dedup.stretches(words, 13, opens, ends)
+    assert (at + length <= ends[at]).all() and (length >= 13).all()
+    seen: dict = {}
+    settled = np.zeros(len(words), bool)
+    for key, i, n in zip(zip(a.tolist(), b.tolist(), strict=True), at, length, strict=True):
+        if seen.setdefault(key, doc[i]) < doc[i]:
+            settled[i : i + n - 12] = True
+    assert not (settled & ~later).any()
+    assert settled.sum() > 0.7 * later.sum()
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["", "one two  three", " \n", "a\tb", "x" * 50, "é ü\u00a0z"]
+    got = substring_dedup._Words([np.frombuffer(t.encode(), np.uint8) for t in texts])
+    for i, t in enumerate(texts):
+        alone = substring_dedup._Words([np.frombuffer(t.encode(), np.uint8)])
+        at = slice(got.bounds[i], got.bounds[i + 1])
+        assert got.hashes[at].tolist() == alone.hashes.tolist() and got.tags[i] == alone.tags[0]
+        assert got.at[at].tolist() == list(range(len(alone.hashes)))
+
+
+def test_repeats_of_long_passages(spark):
+    """Stretches and windows together: long and short passages, runs, edited copies, one doc_id twice."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(0, 200))]
+        lo = rng.randrange(0, 280)
+        words[50:50] = passage[lo : lo + rng.choice([12, 13, 20, 60, 250])]
+        if i % 7 == 0:
+            words += ["run"] * rng.randrange(5, 60)
+        rows.append((i, " ".join(words)))
+    for i in range(60, 75):
+        words = rows[3][1].split()
+        words[rng.randrange(len(words))] = "edited"
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    got = by_id(substring_dedup.substring_dedup(frame(spark, rows)))
+    want = brute_repeats(rows)
+    assert {d: (r.n_removed, r.kept_sha256) for d, r in got.items()} == {d: (n, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for d, (kept, n) in want.items()}
+
+
 def brute_components(rows, n=4, percent=85):
     sets = {}
     for d, t in rows:

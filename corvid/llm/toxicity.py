@@ -1,9 +1,11 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear (logistic) models; each
-model also reads the log odds of all categories before it. While training,
+model also reads the probabilities of all categories before it. While training,
 those are out-of-fold predictions, so that later models see them as they will be
-at scoring time and not as fitted on their own rows.
+at scoring time and not as fitted on their own rows. A fold's model is made
+without its rows in every part: words are selected, style is scaled and weights
+are fitted on the other folds.
 
 Features are the presence of words (A-Z lower-cased, ASCII punctuation off) and
 of word beginnings, which stand for inflected forms, that tell the category's
@@ -13,7 +15,9 @@ the driver is bounded by it and by ``most_words`` for a category. All rows of th
 documents are scored, whole texts each.
 
 Null texts are empty texts. Rows whose label is null teach that category
-nothing. Repeated label rows of a document count by their largest label. If a
+nothing. Repeated label rows of a document count by their largest label;
+repeated document rows are scored as often as given and teach as often. Words of
+equal gain are taken by their hash; a text is flagged if its probability is at the limit or above. If a
 category has less than ``least_rows`` rows of either kind, its model is the
 category's constant share. Extra columns are ignored; an empty table gives an
 empty result.
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -86,10 +90,15 @@ class Chain:
         return out
 
     def probabilities(self, x: np.ndarray) -> list[float]:
-        odds: list[float] = []
+        out: list[float] = []
         for w in self.weights:
-            odds.append(float(np.clip(w[0] + x @ w[1 : len(x) + 1] + np.dot(w[len(x) + 1 :], odds), -30, 30)))
-        return [1 / (1 + float(np.exp(-z))) for z in odds]
+            out.append(float(_share(w[0] + x @ w[1 : len(x) + 1] + np.dot(w[len(x) + 1 :], out))))
+        return out
+
+
+def _share(odds):
+    """The probability of log odds."""
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -107,14 +116,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15)
     return w
 
 
-def _out_of_fold(x: np.ndarray, y: np.ndarray, folds: np.ndarray, n_folds: int) -> np.ndarray:
-    odds = np.zeros(len(x))
-    for k in range(n_folds):
-        on = folds == k
-        if on.any():
-            w = logistic(x[~on], y[~on])
-            odds[on] = np.clip(w[0] + x[on] @ w[1:], -30, 30)
-    return odds
+def _folds(doc_ids: np.ndarray, n_folds: int) -> np.ndarray:
+    return (T.mix(doc_ids.astype(np.int64).view(np.uint64)) % T.U64(n_folds)).astype(np.int64)
 
 
 def _limit(odds: np.ndarray, y: np.ndarray) -> float:
@@ -164,59 +167,85 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, most
             get = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: E731, B023
             own = [words(d) for d in T.texts(get("text"))]
             sizes = [len(w) for w in own]
-            columns = [np.repeat(get(f"y{k}").fill_null(-1).to_numpy(zero_copy_only=False), sizes) for k in range(n_y)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), *(pa.array(c.astype(np.int32)) for c in columns)], ["key", *(f"y{k}" for k in range(n_y))])
+            columns = [np.repeat(c, sizes).astype(np.int32) for c in (_folds(get("doc_id").to_numpy(), n_folds), *(get(f"y{k}").fill_null(-1).to_numpy(zero_copy_only=False) for k in range(n_y)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), *map(pa.array, columns)], ["key", "fold", *(f"y{k}" for k in range(n_y))])
 
     ys = ", ".join(f"y{k} int" for k in range(n_y))
-    totals = sample.agg(*[f(F.col(f"y{k}") == v) for k in range(n_y) for f, v in ((F.count_if, 0), (F.count_if, 1))]).first()
-    per_word = sample.mapInArrow(spread, f"key long, {ys}").groupBy("key").agg(
-        *[a for k in range(n_y) for a in (F.count_if(F.col(f"y{k}") >= 0).alias(f"n{k}"), F.count_if(F.col(f"y{k}") == 1).alias(f"h{k}"))]
-    )
-    keys: set[int] = set()
-    for k in range(n_y):
-        zeros, ones = totals[2 * k], totals[2 * k + 1]
-        if min(zeros, ones) < least_rows:
-            continue
-        gain = _told_apart(F.col(f"n{k}").cast("double"), F.col(f"h{k}").cast("double"), zeros + ones, ones)
-        rows = per_word.where(F.col(f"n{k}") >= 5).select("key", gain.alias("gain")).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "key").limit(most_words).collect()
-        keys |= {r["key"] for r in rows}
-    chain = Chain(names, np.array(sorted(keys), np.int64), np.zeros(_N_STYLE), np.ones(_N_STYLE), [], [])
+    given = sample.select("doc_id", *(f"y{k}" for k in range(n_y))).toPandas()
+    rows_fold = _folds(given["doc_id"].to_numpy(), n_folds)
+    # the words of each variant: all rows (-1), or all but those of a fold
+    counts = [
+        F.count_if((F.col("fold") == f) & (F.col(f"y{k}") >= low)).alias(f"{name}{k}_{f}")
+        for k in range(n_y) for f in range(n_folds) for name, low in (("n", 0), ("h", 1))
+    ]
+    per_word = sample.mapInArrow(spread, f"key long, fold int, {ys}").groupBy("key").agg(*counts)
+    gains = []
+    for v in range(-1, n_folds):
+        among = [f for f in range(n_folds) if f != v]
+        for k in range(n_y):
+            y = given[f"y{k}"].astype("float64").to_numpy()[np.isin(rows_fold, among)]
+            zeros, ones = int((y == 0).sum()), int((y == 1).sum())
+            if min(zeros, ones) >= least_rows:
+                n, hits = (sum((F.col(f"{name}{k}_{f}") for f in among), F.lit(0)).cast("double") for name in "nh")
+                gains.append(F.struct(F.lit(v).alias("variant"), F.lit(k).alias("category"), F.when(n >= 5, _told_apart(n, hits, zeros + ones, ones)).alias("gain")))
+    chosen: dict[int, set[int]] = {v: set() for v in range(-1, n_folds)}
+    if gains:
+        best = per_word.select("key", F.explode(F.array(*gains)).alias("g")).select("key", "g.*").where(F.col("gain") >= least_gain)
+        place = F.row_number().over(Window.partitionBy("variant", "category").orderBy(F.desc("gain"), "key"))
+        for row in best.withColumn("place", place).where(F.col("place") <= most_words).select("variant", "key").collect():
+            chosen[row["variant"]].add(row["key"])
+    every = np.array(sorted(set().union(*chosen.values())), np.int64)
+    raw = Chain(names, every, np.zeros(_N_STYLE), np.ones(_N_STYLE), [], [])
 
     def measured(batches):
         for batch in batches:
             get = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: E731, B023
-            x = [chain.features(d) for d in T.texts(get("text"))]
-            on = [np.flatnonzero(v[: len(chain.keys)]).tolist() for v in x]
+            x = [raw.features(d) for d in T.texts(get("text"))]
+            on = [np.flatnonzero(v[: len(every)]).tolist() for v in x]
             yield pa.RecordBatch.from_arrays(
-                [get("doc_id"), pa.array(on, pa.list_(pa.int32())), pa.array([v[len(chain.keys) :].tolist() for v in x], pa.list_(pa.float64())), *(get(f"y{k}") for k in range(n_y))],
+                [get("doc_id"), pa.array(on, pa.list_(pa.int32())), pa.array([v[len(every) :].tolist() for v in x], pa.list_(pa.float64())), *(get(f"y{k}") for k in range(n_y))],
                 ["doc_id", "on", "style", *(f"y{k}" for k in range(n_y))],
             )
 
     found = sample.mapInArrow(measured, f"doc_id long, on array<int>, style array<double>, {ys}").toPandas().sort_values("doc_id", ignore_index=True)
-    x = np.zeros((len(found), len(chain.keys) + _N_STYLE))
+    has = np.zeros((len(found), len(every)))
     for i, on in enumerate(found["on"]):
-        x[i, np.asarray(on, np.int64)] = 1.0
-    if len(found):
-        ratios = np.array(found["style"].tolist())
-        chain.mean, chain.scale = ratios.mean(0), np.maximum(ratios.std(0), 1e-6)
-        x[:, len(chain.keys) :] = (ratios - chain.mean) / chain.scale
-    folds = (T.mix(found["doc_id"].to_numpy(np.int64).view(np.uint64)) % T.U64(n_folds)).astype(np.int64)
+        has[i, np.asarray(on, np.int64)] = 1.0
+    ratios = np.array(found["style"].tolist()).reshape(-1, _N_STYLE)
+    folds = _folds(found["doc_id"].to_numpy(), n_folds)
+
+    def features_of(v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A variant's features of all rows, and its mean and scale of style."""
+        own, on = np.isin(every, list(chosen[v])), folds != v
+        mean, scale = (ratios[on].mean(0), np.maximum(ratios[on].std(0), 1e-6)) if on.any() else (raw.mean, raw.scale)
+        return np.hstack([has[:, own], (ratios - mean) / scale]), mean, scale
+
+    final, mean, scale = features_of(-1)
+    before = np.zeros((len(found), 0))  # probabilities of the categories so far
+    weights, limits = [], []
     for k in range(n_y):
         y = found[f"y{k}"].astype("float64").to_numpy()
-        on = ~np.isnan(y)
-        ones = int((y[on] == 1).sum())
-        if min(ones, int(on.sum()) - ones) < least_rows:
-            share = (ones + 0.5) / (on.sum() + 2)
-            chain.weights.append(np.append(np.log(share / (1 - share)), np.zeros(x.shape[1])))
-            chain.limits.append(0.5)
-            odds = np.full(len(x), chain.weights[-1][0])
+        known = ~np.isnan(y)
+        ones = int((y[known] == 1).sum())
+        x = np.hstack([final, before])
+        if min(ones, int(known.sum()) - ones) < least_rows:
+            share = (ones + 0.5) / (known.sum() + 2)
+            weights.append(np.append(np.log(share / (1 - share)), np.zeros(x.shape[1])))
+            limits.append(0.5)
+            odds = np.full(len(x), weights[-1][0])
         else:
-            chain.weights.append(logistic(x[on], y[on]))
-            odds = np.clip(chain.weights[-1][0] + x @ chain.weights[-1][1:], -30, 30)
-            odds[on] = _out_of_fold(x[on], y[on], folds[on], n_folds)
-            chain.limits.append(_limit(odds[on], y[on]))
-        x = np.hstack([x, odds[:, None]])
-    return chain
+            weights.append(logistic(x[known], y[known]))
+            odds = weights[-1][0] + x @ weights[-1][1:]
+            for v in range(n_folds):
+                out = folds == v
+                if out.any() and (known & ~out).any():
+                    x = np.hstack([features_of(v)[0], before])
+                    w = logistic(x[known & ~out], y[known & ~out])
+                    odds[out] = w[0] + x[out] @ w[1:]
+            odds = np.clip(odds, -30, 30)
+            limits.append(_limit(odds[known], y[known]))
+        before = np.hstack([before, _share(odds)[:, None]])
+    return Chain(names, np.array(sorted(chosen[-1]), np.int64), mean, scale, weights, limits)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -492,6 +492,42 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, rows), nothing).where("toxic").count() == 0
 
 
+def test_toxicity_chain_reads_probabilities():
+    chain = toxicity.Chain(["a", "b"], np.zeros(0, np.int64), np.zeros(6), np.ones(6), [np.zeros(7), np.append(np.zeros(7), 2.0)], [0.5, 0.5])
+    a, b = chain.probabilities(np.zeros(6))
+    assert a == 0.5 and abs(b - 1 / (1 + np.exp(-2 * 0.5))) < 1e-12
+
+
+def test_toxicity_folds_do_not_leak(spark):
+    """Labels by chance: words chosen with a fold's own rows would tell them apart, so the limit would promise too much."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"n{rng.randrange(400)}" for _ in range(30))) for i in range(400)]
+    y = {i: rng.randrange(2) for i in range(400)}
+    lab = spark.createDataFrame([(i, 1, y[i]) for i in y], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    chain = toxicity.fit(docs, lab, least_gain=3.0)
+    assert len(chain.keys) > 10  # words that fit the sample by chance
+    flagged = by_id(toxicity.score(docs, chain))
+    own = np.mean([flagged[i].p_toxic > 0.5 if y[i] else flagged[i].p_toxic <= 0.5 for i in y])
+    assert own > 0.75  # fitted rows look right, ...
+    assert chain.limits[-1] < 0.35  # ... but out of fold the best F1 is to flag (nearly) all
+
+
+def test_toxicity_empty_and_repeated_rows(spark):
+    rows = [(i, prose(30) + (" scum scum" if i % 2 else "")) for i in range(60)]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + rows[:5] + [(None, "scum")])
+    got = toxicity.score(docs, toxicity.fit(docs, lab, least_gain=5.0)).collect()
+    assert len(got) == 66 and all(r.toxic == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None)
+    empty = toxicity.fit(docs.limit(0), lab)
+    assert toxicity.score(docs.limit(0), empty).count() == 0
+
+
+def test_html_keeps_text_of_formulas_and_fallbacks():
+    page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here. <object>fallback text</object> end.<noscript> Plain.</noscript></p></article>"
+    assert html_extraction.main_texts([page], None) == ["Energy is E=m here. fallback text end. Plain."]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>x</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a><li><a href="/b">More</a></ul></nav><!-- c --><div class="ad">Buy now</div>
 <article><h1>Title &amp; more</h1><p>First  para

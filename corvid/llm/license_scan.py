@@ -1,13 +1,15 @@
 """License scans by canonical digests.
 
-A text is canonical once A-Z is lower case, copyright lines are gone, all
+A text is canonical once A-Z is lower case, copyright lines (a year, a sign or a
+placeholder follows "copyright", and at most 160 characters) are gone, all
 characters but letters, digits and non-ASCII ones have become single blanks,
 and equivalent spellings are one. Texts with one canonical form have one SHA-256
 digest; a hash join with the digests of known licences identifies them. The
 join looks up entire texts: the whole document, and each of its lines as a text
 of its own, which is where licence notices stand. All of it are Spark SQL
 expressions; only lines that hit are shuffled. The known licences are a list
-in this module, which is broadcast, and a table the caller may add, which is not.
+in this module and the files in ``licenses``, which are broadcast (as digests), and a
+table the caller may add, which is not.
 
 Null and empty texts, and texts of copyright lines alone, have no canonical
 form: digest null, nothing found. A text that equals two known licences (same
@@ -17,6 +19,8 @@ notices. Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,18 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.
 """
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD3 = _BSD2.replace("THIS SOFTWARE IS", _ENDORSE + "THIS SOFTWARE IS")
+#: Longer texts, a file each.
+_FILES = tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 #: (name, text); notices of one line are found as lines of a document too.
 KNOWN = (
     ("MIT", _MIT),
@@ -84,6 +100,11 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD2),
+    ("BSD-3-Clause", _BSD3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD3),
+    *_FILES,
 )
 #: Spellings that count as one, as words of the canonical form.
 SPELLINGS = (
@@ -100,7 +121,7 @@ SPELLINGS = (
     ("https", "http"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RIGHTS = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+_RIGHTS = r"^[^a-z0-9]*((copyright|\(c\)|©)[ ,:]*(\(c\)|©|<|\[|[0-9]{4}|by )[^\n]{0,160}\z|\(c\) [^\n]{0,160}\z|all rights reserved[^a-z0-9]*\z)"
 _BREAKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 

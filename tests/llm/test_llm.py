@@ -583,6 +583,22 @@ def test_licenses(spark):
     assert all(r.digest is None for r in got if r.doc_id in (3, 4, 5))
 
 
+def test_whole_licenses(spark):
+    known = dict(license_scan.KNOWN[::-1])
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = {n: max((t for k, t in license_scan.KNOWN if k == n), key=len) for n in names}
+    assert set(names) <= set(known) and all(len(t) > 1000 for t in texts.values())
+    rows = [(i, "Copyright (c) 2020, Some One. All rights reserved.\n\n" + texts[n]) for i, n in enumerate(names)]
+    rows += [(50 + i, texts[n].replace("\n\n", "\n \n").replace(";", " ;").upper()) for i, n in enumerate(names)]
+    # wrapped so that a line begins with "copyright"
+    rows.append((90, texts["BSD-3-Clause"].replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT")))
+    rows.append((91, " ".join(texts["BSD-2-Clause"].split())))
+    rows.append((92, "Copyright holders shall not be named."))
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert [got[i].license for i in range(len(names))] == names == [got[50 + i].license for i in range(len(names))]
+    assert got[90].license == "BSD-3-Clause" and got[91].license == "BSD-2-Clause" and got[92].digest is not None
+
+
 @pytest.mark.parametrize(
     "run",
     [

@@ -85,6 +85,26 @@ def op10_byte_bpe(spark, sf_dir):
     return encode_digests(_docs(spark, sf_dir), tokenizer_path())
 
 
+def op11_stratified_sharding(spark, sf_dir):
+    from .sharding import assign
+
+    out = assign(_docs(spark, sf_dir), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    from .filter_audit import audit
+
+    return audit(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    from .conversation_repair import damage, repair_digests
+
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_digests(damage(turns), turns)
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -97,6 +117,9 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_license_scan": op9_license_scan,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_stratified_sharding": op11_stratified_sharding,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -156,7 +179,10 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
+    from .conversation_repair import oracle as op13
+    from .filter_audit import ORACLE as OP12
     from .license_scan import ORACLE as OP9
     from .quality_rules import STOP_WORDS
+    from .sharding import oracle as op11
 
-    return {"op1_substring_dedup": OP1, "op3_quality_rules": OP3.replace("@STOP@", " ".join(STOP_WORDS)), "op9_license_scan": OP9}
+    return {"op1_substring_dedup": OP1, "op3_quality_rules": OP3.replace("@STOP@", " ".join(STOP_WORDS)), "op9_license_scan": OP9, "op11_stratified_sharding": op11(), "op12_filter_audit": OP12, "op13_conversation_repair": op13()}

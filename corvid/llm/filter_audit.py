@@ -59,18 +59,20 @@ def _spans() -> list[tuple[int, int]]:
     return out
 
 
-def _block_hashes(text: Column, bits: int) -> Column:
-    """The hash of each block that the text reaches."""
-    cut = lambda at, size: F.shiftright(F.xxhash64(F.substring(text, at, min(size, (1 << 31) - 1))), 64 - bits)
-    return F.filter(F.array(*[F.when(F.char_length(text) >= at, cut(at, size)) for at, size in _spans() if at < 1 << 31]), lambda x: x.isNotNull())
+def _block_hashes(bits: int) -> list[Column]:
+    """The hash of each block of ``text``, of ``length`` code points; null beyond its end."""
+    cut = lambda at, size: F.shiftright(F.xxhash64(F.substring("text", at, min(size, (1 << 31) - 1))), 64 - bits)
+    return [F.when(F.col("length") >= at, cut(at, size)).alias(f"h{k}") for k, (at, size) in enumerate(_spans()) if at < 1 << 31]
 
 
-def _chained(key: Column, h: Column) -> Column:
-    return F.xxhash64(key, h)
+def _key(hashes: list[str]) -> Column:
+    """The name of a length and the blocks up to some round; nulls, beyond a text's end, leave it as it is."""
+    return F.xxhash64("length", *hashes)
 
 
-def _whole_key(length: Column, hashes: Column) -> Column:
-    return F.aggregate(hashes, F.xxhash64(length), _chained)
+def _measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, length and text of the rows that have a doc_id."""
+    return docs.where("doc_id is not null").select(*more, F.col("doc_id").cast("long").alias("id"), _text().alias("text")).withColumn("length", F.char_length("text"))
 
 
 def later_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -79,35 +81,43 @@ def later_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
     ``bits``: of a block's hash; fewer make more classes of different texts, never other results.
     """
     classes = _classes(docs, bits)
+    hashes = _block_hashes(bits)
+    names = [f"h{k}" for k in range(len(hashes))]
+    keyed = _measured(docs, F.struct("*").alias("row")).select("row", "id", "text", "length", *hashes).select("row", "id", _key(names).alias("key"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    keyed = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _whole_key(F.char_length(_text()), _block_hashes(_text(), bits)).alias("key"))
     sieve = F.broadcast(classes.select(F.pmod("key", F.lit(SIEVE)).alias("sieve")).distinct())
-    sifted = keyed.withColumn("sieve", F.pmod("key", F.lit(SIEVE))).join(sieve, "sieve", "left_semi").drop("sieve")
+    # an inner join with distinct values: a semi join would be planned below the hashes and make them twice
+    sifted = keyed.withColumn("sieve", F.pmod("key", F.lit(SIEVE))).join(sieve, "sieve").drop("sieve")
     members = materialize(sifted.join(classes, "key"), "members")
-    first = members.where("id = least").groupBy("key").agg(F.first(text).alias("first"))
+    first = materialize(members.where("id = least").groupBy("key").agg(F.first(text).alias("first")), "first")
     compared = materialize(members.join(first, "key").withColumn("same", text == F.col("first")).drop("first"), "compared")
-    release(classes, members)
+    release(classes, members, first)
     other = compared.where("not same")
     out = compared.where("same and id > least").select("row.*")
     if not other.isEmpty():
-        own = other.withColumn("text", text)
-        least_of = own.groupBy("key", "text").agg(F.min("id").alias("own"))
-        out = out.union(own.join(least_of, ["key", "text"]).where("id > own").select("row.*"))
+        other = other.withColumn("text", text)
+        least_of = other.groupBy("key", "text").agg(F.min("id").alias("own"))
+        out = out.union(other.join(least_of, ["key", "text"]).where("id > own").select("row.*"))
     return out
 
 
 def _classes(docs: DataFrame, bits: int) -> DataFrame:
     """key, least: the classes of two doc_ids or more whose lengths and blocks all agree, with their least doc_id."""
-    alive = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.char_length(_text()).alias("length"), _block_hashes(_text(), bits).alias("hashes"))
-    signed = materialize(alive, "refine")
-    alive, tables, done = signed.withColumn("key", F.xxhash64("length")), [signed], []
-    deepest = signed.agg(F.coalesce(F.max(F.size("hashes")), F.lit(0))).first()[0]
+    hashes = _block_hashes(bits)
+    names = [f"h{k}" for k in range(len(hashes))]
+    signed = materialize(_measured(docs).select("id", "length", *hashes), "refine")
+    reached = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    deepest = signed.agg(F.coalesce(F.max(reached), F.lit(0))).first()[0]
+    alive, tables, done = signed, [signed], []
     for k in range(deepest + 1):
         # by length first, then by one block after the other; classes of one doc_id go
+        alive = alive.withColumn("key", _key(names[:k]))
         groups = alive.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last")
-        tables.append(materialize(alive.join(groups, "key").select("id", "hashes", "key", "least"), "refine"))
-        done.append(tables[-1].where(F.size("hashes") == k).select("key", "least").distinct())
-        alive = tables[-1].where(F.size("hashes") > k).select("id", "hashes", _chained(F.col("key"), F.element_at("hashes", k + 1)).alias("key"))
+        groups = materialize(groups, "groups")
+        left = materialize(alive.join(groups, "key"), "refine")
+        tables += [groups, left]
+        done.append(left.where(reached == k).select("key", "least").distinct())
+        alive = left.where(reached > k).drop("key", "least")
     out = materialize(functools.reduce(DataFrame.union, done), "classes")
     release(*tables)
     return out
@@ -153,7 +163,7 @@ def audit(docs: DataFrame, labels: DataFrame, filters: dict | None = None, copie
     """
     filters = standard_filters() if filters is None else filters
     letters = [*filters, copies]
-    sums = mask_counts(docs, labels, filters)
+    sums = materialize(mask_counts(docs, labels, filters), "masks")
     # one row for each part and pair of a filter and the set of those before it
     steps = [(before, k) for k in range(len(letters)) for before in range(1 << len(letters)) if not before >> k & 1]
     pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("before"), F.lit(k).alias("k"), F.lit(1 << k).alias("own")) for b, k in steps])).alias("s")

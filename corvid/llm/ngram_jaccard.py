@@ -26,7 +26,9 @@ Rows that share a column but no root are then indexed by their whole rows,
 n-grams that only rows of one root have first, then from rare to common: a pair
 that links shares one of the first ``d + 1``, at ranks that leave room for the
 overlap it needs. Edited copies that are too far from each other share none, so
-that no pair of them is formed. In each of these columns the rows are multiplied
+that no pair of them is formed. Of two rows the smaller one must have its n-gram
+so early that a row of its own size could still be reached, so that rows with a common
+template that is too short for the threshold are not compared. In each of these columns the rows are multiplied
 with the first of them, which joins more roots, and what still has different
 roots is multiplied pair by pair, each pair once, at the first n-gram it shares.
 Pairs below one root can't change the classes, so a group of copies costs no
@@ -165,6 +167,21 @@ def _multiplied(pairs: DataFrame, rows: DataFrame, percent: int, tag: str) -> Da
     return materialize(more(first, ["sizes", *rest], rest).where(_reaches(percent, BLOCKS)).select("a", "b"), tag)
 
 
+def _sides(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The entries that a pair's smaller and larger row may have at the first n-gram that they share.
+
+    What the smaller row still holds from its rank on must reach the overlap of two
+    rows of its size, at least; of the others only those of columns with such a row, and
+    of a size that it can reach, are left. Rows that share a template below the
+    threshold have no such entries, however many they are.
+    """
+    held = (F.col("size") - F.col("rank") + 1) * (100 + percent)
+    one = index.where(held >= 2 * F.col("size") * percent)
+    least = one.groupBy("gram").agg(F.min("size").alias("least"))
+    two = index.join(least, "gram").where(held >= (F.col("size") + F.col("least")) * percent).drop("least")
+    return one, two
+
+
 def _roots(forest: DataFrame) -> DataFrame:
     """(node, root) of a written forest (a, b), b the parent, by doubling steps."""
     forest = forest.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -243,8 +260,9 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     index_all, index = index, materialize(index.join(joined, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component"), "index")
     release(index_all, lead)
     # all others: each pair at the first n-gram that both share
-    one, two = index.alias("p"), index.alias("q")
-    rest = one.join(two, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.set_id") < F.col("q.set_id")) & may_link("p", "q") & ~F.arrays_overlap("p.before", "q.before"))
+    one, two = (side.alias(name) for side, name in zip(_sides(index, percent), "pq", strict=True))
+    ordered = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.set_id") < F.col("q.set_id")))
+    rest = one.join(two, (F.col("p.gram") == F.col("q.gram")) & ordered & may_link("p", "q") & ~F.arrays_overlap("p.before", "q.before"))
     rest = materialize(rest.select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b")), "rest")
     more = _multiplied(rest, rows, percent, "links")
     release(apart, company, index, rest, rows, forest)

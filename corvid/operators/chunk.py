@@ -37,6 +37,17 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("content", strip(F.col("_raw"))).where("content != ''").drop(text, "_raw")
 
 
+def with_metadata(chunks: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Chunks of ``fixed`` whose map of metadata has their own place: chunk_id, start_index and end_index replace values of these keys.
+
+    A null map counts as an empty one.
+    """
+    own = {"chunk_id": "chunk_ord", "start_index": "start_index", "end_index": "end_index"}
+    place = F.create_map(*[x for key, c in own.items() for x in (F.lit(key), F.col(c).cast("string"))])
+    kept = F.map_filter(F.coalesce(F.col(metadata), F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*own))
+    return chunks.withColumn(metadata, F.map_concat(kept, place))
+
+
 def is_python(text: str) -> bool:
     try:
         ast.parse(text)

@@ -223,15 +223,14 @@ def quantize_binary(spark, sf_dir):
 
 
 def _streamed(spark, frame, mode: str):
-    """Run a stream over all that is there, in small batches, and give what its sink holds."""
-    path, out = _place(spark), []
+    """Run a stream over all that is there, in small batches, and give what its sink holds; a batch that is run again replaces its rows."""
+    path = _place(spark)
 
     def sink(batch, number):
-        batch.write.parquet(f"{path}/out/batch={number}")
-        out.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out"), max(out, default=0)
+    return spark.read.parquet(f"{path}/out")
 
 
 def _stream(spark, sf_dir, name):
@@ -246,8 +245,8 @@ def _stream(spark, sf_dir, name):
 def stream_eval_stats(spark, sf_dir):
     """Running statistics of a stream; the last batch holds all evaluators."""
     rows = streams.running_scores(_stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("evaluator_id"), F.col("value").alias("score")))
-    held, last = _streamed(spark, rows, "complete")
-    return held.where(F.col("batch") == last).select("evaluator_id", "n", F.round("mean", 6).alias("mean"))
+    held = _streamed(spark, rows, "complete")
+    return held.join(held.agg(F.max("batch").alias("batch")), "batch").select("evaluator_id", "n", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT conv_id, turn, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS back FROM conversations) WHERE back <= 3")
@@ -256,7 +255,7 @@ def stream_memory(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = streams.remembered(_stream(spark, sf_dir, "conversations"), 3)
-    held, _ = _streamed(spark, rows, "update")
+    held = _streamed(spark, rows, "update")
     last = held.withColumn("_last", F.max("batch").over(Window.partitionBy("conv_id"))).where("batch = _last")
     return last.select("conv_id", "turn", "back")
 

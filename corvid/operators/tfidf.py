@@ -11,8 +11,10 @@ only the terms that are asked for.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +35,85 @@ def grams(text: str | None, pairs: bool = True) -> list[str]:
 
 
 def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = True, text: str = "text") -> DataFrame:
-    """(term, total, df, idf) of the ``limit`` most frequent terms, ties in alphabetical order."""
+    """(term, total, df, idf) of the ``limit`` most frequent terms, ties in alphabetical order.
 
-    def count(batches):
-        total, df = Counter(), Counter()
+    Words are counted first. The total of the last of the ``limit`` most frequent words is a
+    bound: a pair that is to be among the first has it, and so have both of its words. So only pairs
+    of such words are counted, by number. Where that leaves too many words (ties), pairs are counted as they are.
+    """
+    sums = [F.sum("total").alias("total"), F.sum("df").alias("df")]
+    words = docs.select(text).mapInArrow(_count_words, "term string, total long, df long").groupBy("term").agg(*sums)
+    if pairs:
+        words = words.persist()
+        n, least = words.orderBy(F.desc("total")).limit(limit).agg(F.count(F.lit(1)), F.min("total")).first()
+        kept = words.where(F.col("total") >= (least if n == limit else 1))
+        known = [r[0] for r in kept.select("term").orderBy("term").limit(4 * limit + 1).collect()] if n == limit and least > 1 else None
+        if known is not None and len(known) <= 4 * limit:
+            numbers = docs.sparkSession.createDataFrame(list(enumerate(known)), "number long, term string")
+            numbers = F.broadcast(numbers)
+            counted = docs.select(text).mapInArrow(_count_pairs(docs.sparkSession.sparkContext.broadcast(known)), "code long, total long, df long").groupBy("code").agg(*sums).where(F.col("total") >= least)
+            one, two = numbers.withColumnsRenamed({"number": "a", "term": "first"}), numbers.withColumnsRenamed({"number": "b", "term": "second"})
+            counted = counted.withColumns({"a": F.expr(f"code div {len(known)}"), "b": F.col("code") % len(known)}).join(one, "a").join(two, "b").select(F.concat_ws(" ", "first", "second").alias("term"), "total", "df")
+            words = kept.union(counted)
+        else:
+            words = words.union(docs.select(text).mapInArrow(_count_any_pairs, "term string, total long, df long").groupBy("term").agg(*sums))
+    top = words.orderBy(F.desc("total"), F.asc("term")).limit(limit)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
+    return top.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
+
+
+def _numbered(texts: list[str | None], number) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of texts one after the other, and the text of each."""
+    found = [[number(w) for w in _WORD.findall((x or "").lower()) if w not in _STOP] for x in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
+    return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum())), np.repeat(np.arange(len(found)), sizes)
+
+
+def _sums(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, how often each is there, and in how many texts."""
+    order = np.lexsort((owner, codes))
+    codes, owner = codes[order], owner[order]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = codes[1:] != codes[:-1]
+    own = np.ones(len(codes), bool)
+    own[1:] = fresh[1:] | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return codes, codes, codes
+    return codes[starts], np.diff(np.append(starts, len(codes))), np.add.reduceat(own.astype(np.int64), starts)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[t] for t in total], pa.int64())], ["term", "total", "df"])
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers: dict[str, int] = {}
+        codes, total, df = _sums(*_numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()).take(pa.array(codes)), pa.array(total), pa.array(df)], ["term", "total", "df"])
+
+
+def _neighbours(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of words followed by another word of the same text."""
+    return np.flatnonzero(owner[1:] == owner[:-1]) if len(words) else np.zeros(0, np.int64)
+
+
+def _count_pairs(known):
+    def run(batches):
+        numbers = {w: i for i, w in enumerate(known.value)}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                own = Counter(grams(x, pairs))
-                total.update(own)
-                df.update(own.keys())
-                if len(total) > 500_000:
-                    yield out()
-                    total, df = Counter(), Counter()
-        yield out()
-
-    rows = docs.select(text).mapInArrow(count, "term string, total long, df long")
-    top = rows.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), F.asc("term")).limit(limit)
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
-    return top.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
+            words, owner = _numbered(batch.column(0).to_pylist(), lambda w: numbers.get(w, -1))
+            at = _neighbours(words, owner)
+            at = at[(words[at] >= 0) & (words[at + 1] >= 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _sums(words[at] * len(numbers) + words[at + 1], owner[at])], ["code", "total", "df"])
+
+    return run
+
+
+def _count_any_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers: dict[str, int] = {}
+        words, owner = _numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n)))
+        at, names = _neighbours(words, owner), list(numbers)
+        codes, total, df = _sums(words[at] * len(names) + words[at + 1], owner[at])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{names[c // len(names)]} {names[c % len(names)]}" for c in codes.tolist()], pa.string()), pa.array(total), pa.array(df)], ["term", "total", "df"])
 
 
 def vocabulary(stats: DataFrame) -> dict[str, float]:
@@ -84,38 +143,71 @@ def weights(docs: DataFrame, idf: dict[str, float], key: str, pairs: bool = True
 
 
 class Scorer:
-    """Scores texts against questions: a product of two sparse matrices of unit rows, in memory for a batch."""
+    """Scores texts against questions: a product of two sparse matrices of unit rows, in memory for a batch.
+
+    Terms are numbered in the vocabulary's alphabetical order.
+    """
 
     def __init__(self, idf: dict[str, float], questions: list[str | None], pairs: bool = True):
         self.idf, self.pairs, self.count = idf, pairs, len(questions)
-        asked: dict[str, list[tuple[int, float]]] = {}
+        self.number = {t: i for i, t in enumerate(sorted(idf))}
+        asked: dict[int, list[tuple[int, float]]] = {}
         for q, text in enumerate(questions):
-            for term, w in self._unit(text).items():
+            for term, w in zip(*self.unit(text), strict=True):
                 asked.setdefault(term, []).append((q, w))
         self.asked = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in asked.items()}
-
-    def _unit(self, text: str | None) -> dict[str, float]:
-        own = {t: n * self.idf[t] for t, n in Counter(grams(text, self.pairs)).items() if t in self.idf}
-        size = sum(w * w for w in own.values()) ** 0.5
-        return {t: w / size for t, w in own.items()}
+        self.wanted = np.zeros(len(idf), bool)
+        self.wanted[list(asked)] = True
+
+    def unit(self, text: str | None) -> tuple[list[int], list[float]]:
+        """Numbers and weights of a text's terms."""
+        own = [(self.number[t], n * self.idf[t]) for t, n in Counter(grams(text, self.pairs)).items() if t in self.idf]
+        size = sum(w * w for _, w in own) ** 0.5
+        return [t for t, _ in own], [w / size for _, w in own]
+
+    def product(self, terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Questions by texts; terms and weights of the texts stand one after the other, ``sizes`` of each text."""
+        out = np.zeros((self.count, len(sizes)))
+        on = self.wanted[terms]
+        terms, weights, rows = terms[on], weights[on], np.repeat(np.arange(len(sizes)), sizes)[on]
+        order = np.argsort(terms, kind="stable")
+        terms, weights, rows = terms[order], weights[order], rows[order]
+        edges = np.flatnonzero(np.diff(terms, prepend=-1, append=-1)) if len(terms) else []
+        for lo, hi in itertools.pairwise(edges):
+            qs, ws = self.asked[int(terms[lo])]
+            out[qs[:, None], rows[None, lo:hi]] += ws[:, None] * weights[None, lo:hi]
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Questions by texts."""
-        out = np.zeros((self.count, len(texts)))
-        for j, text in enumerate(texts):
-            for t, w in self._unit(text).items():
-                if (found := self.asked.get(t)) is not None:
-                    out[found[0], j] += found[1] * w
-        return out
+        found = [self.unit(x) for x in texts]
+        flat = lambda k, kind: np.array([x for own in found for x in own[k]], kind)
+        return self.product(flat(0, np.int64), flat(1, float), np.array([len(t) for t, _ in found], np.int64))
+
+
+def weighed(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFrame:
+    """Adds ``terms`` and ``weights``: each text's term numbers in the vocabulary's order, and their weights of unit length."""
+    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(idf, []))
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            found = [scorer.value.unit(x) for x in batch.column(place).to_pylist()]
+            more = [pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "terms", "weights"])
+
+    names = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes)
+    return docs.mapInArrow(run, f"{names}, terms array<int>, weights array<double>")
 
 
-def sparse_scores(scorer: Scorer, column: int):
-    """TF-IDF products of questions with the texts of a batch's column."""
-    return functools.partial(_sparse, scorer, column)
+def sparse_scores(scorer: Scorer, terms: int, weights: int):
+    """TF-IDF products of questions with a batch's columns of term numbers and weights."""
+    return functools.partial(_sparse, scorer, terms, weights)
 
 
-def _sparse(scorer: Scorer, column: int, batch: pa.RecordBatch) -> np.ndarray:
-    return scorer.scores(batch.column(column).to_pylist())
+def _sparse(scorer: Scorer, terms: int, weights: int, batch: pa.RecordBatch) -> np.ndarray:
+    own, values = batch.column(terms), batch.column(weights)
+    return scorer.product(own.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), np.diff(own.offsets.to_numpy()))
 
 
 def search(questions: DataFrame, docs: DataFrame, k: int = C.TOP_K, limit: int = C.TFIDF_FEATURES, digits: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import compress, memory, rewrite, search, tfidf
 from ..operators.hooks import first_sentence, hashed_embedding
 from .common import TOKEN, query, quoted, table, words
+from .tables import _place
 from .text import OVERLAP
 
 #: Every vector whose id is divisible by 100 is a question, against all vectors.
@@ -176,14 +177,20 @@ n AS (SELECT query_id, id, {_scaled('f', 'dr')} AS ds, {_scaled('f', 'sr')} AS s
 hy AS (SELECT query_id, id, round(ds, 6)::DOUBLE AS dense_score, round(ss, 6)::DOUBLE AS sparse_score, round(ds * 0.5::DOUBLE + ss * 0.5::DOUBLE, 6)::DOUBLE AS hybrid_score FROM n)"""
 
 
-def _sides(q, d):
-    """All documents with text and vector, questions alike, and makers of both scores."""
-    idf = tfidf.vocabulary(tfidf.term_stats(d))
+def _sides(q, d, sparse=True):
+    """All documents with vectors and term weights, each made once and written; questions alike, and makers of both scores."""
     corpus = d.select(F.col("id").cast("long").alias("id"), "text", hashed_embedding(F.col("text")).alias("vector")).where("text is not null")
+    idf = {}
+    if sparse:
+        idf = tfidf.vocabulary(tfidf.term_stats(d))
+        corpus = tfidf.weighed(corpus, idf).drop("text")
+    path = _place(d.sparkSession)
+    corpus.write.parquet(path)
+    corpus = d.sparkSession.read.schema(corpus.schema).parquet(path)
     questions = q.select("query_id", "text", hashed_embedding(F.col("text")).alias("vector")).where("text is not null")
-    dense = lambda rows: search.dense_scores(np.array(rows["vector"].tolist(), float), 2)
-    sparse = lambda rows: tfidf.sparse_scores(tfidf.Scorer(idf, rows["text"].tolist()), 1)
-    return questions, corpus, dense, sparse
+    dense = lambda rows: search.dense_scores(np.array(rows["vector"].tolist(), float), corpus.columns.index("vector"))
+    terms = lambda rows: tfidf.sparse_scores(tfidf.Scorer(idf, rows["text"].tolist()), corpus.columns.index("terms"), corpus.columns.index("weights"))
+    return questions, corpus, dense, terms
 
 
 def _fused(spark, sf_dir, k, alpha=C.HYBRID_ALPHA):
@@ -208,7 +215,7 @@ SELECT *, FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boos
 def keyword_boost_search(spark, sf_dir):
     """Dense and keyword scores of all documents, scaled; keywords raise the dense score."""
     q, d = _texts(spark, sf_dir)
-    questions, corpus, dense, _ = _sides(q, d)
+    questions, corpus, dense, _ = _sides(q, d, sparse=False)
     questions = questions.withColumn("keys", X.keywords(F.col("text")))
     keys = lambda rows: search.keyword_scores([list(x) for x in rows["keys"]], 1)
     return search.fused(questions, corpus, dense, keys, lambda a, b: a * (1 + (C.KEYWORD_BOOST - 1) * b), ("dense_score", "keyword_score", "boosted_score"))

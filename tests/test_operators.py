@@ -176,3 +176,42 @@ def test_label_means_cover_all_rows(spark):
     corpus = spark.createDataFrame(rows, "id long, vector array<double>, label long")
     got = {(r.query_id, r.label): round(r.similarity, 4) for r in search.label_means(questions, corpus).collect()}
     assert got == {(1, 0): 1.0, (1, 7): 0.0, (1, 8): 0.3536}
+
+
+def test_fused_questions_that_repeat(spark):
+    import numpy as np
+
+    from corvid.operators import tfidf
+
+    docs = [(i, f"w{i} w{i % 3} red fox", [float(i % 4), 1.0]) for i in range(12)]
+    corpus = spark.createDataFrame(docs, "id long, text string, vector array<double>")
+    idf = tfidf.vocabulary(tfidf.term_stats(corpus))
+    corpus = tfidf.weighed(corpus, idf)
+    dense = lambda rows: search.dense_scores(np.array(rows["vector"].tolist(), float), 2)
+    sparse = lambda rows: tfidf.sparse_scores(tfidf.Scorer(idf, rows["text"].tolist()), 3, 4)
+    schema = "query_id long, text string, vector array<double>"
+    run = lambda rows: search.fused(spark.createDataFrame(rows, schema), corpus, dense, sparse, lambda a, b: a / 2 + b / 2, ("d", "s", "f"), 3)
+    once = sorted(map(tuple, run([(1, "w1 fox", [1.0, 0.0]), (2, "w2", [0.0, 1.0])]).collect()))
+    many = sorted(map(tuple, run([(2, "w2", [0.0, 1.0]), (1, "w1 fox", [1.0, 0.0]), (1, "w1 fox", [1.0, 0.0]), (None, "w3", [1.0, 1.0]), (1, "zz", [9.0, 9.0])]).collect()))
+    assert once == many and len(once) == 6
+    assert run([]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 40, 100_000])
+def test_term_stats(spark, limit):
+    import math
+    import random
+    from collections import Counter
+
+    from corvid.operators import tfidf
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["the", "fox", "Red", "dög", "x", "w1", "w2", "w3"] + [f"v{i}" for i in range(30)]) for _ in range(rnd.randint(0, 40))) for _ in range(80)] + [None, ""]
+    counts = [Counter(tfidf.grams(t)) for t in texts]
+    total, df = Counter(), Counter()
+    for c in counts:
+        total.update(c)
+        df.update(c.keys())
+    want = sorted(total, key=lambda t: (-total[t], t))[:limit]
+    got = tfidf.term_stats(spark.createDataFrame([(t, "x") for t in texts], "text string, term string").repartition(3), limit).collect()
+    assert sorted((r.term, r.total, r.df, round(r.idf, 9)) for r in got) == sorted((t, total[t], df[t], round(math.log((len(texts) + 1) / (df[t] + 1)) + 1, 9)) for t in want)

@@ -116,16 +116,25 @@ DEFAULTS = {
 }
 
 
-def config(path: str | None = None) -> dict:
-    """Settings from a YAML file over the defaults; an unreadable file gives the defaults."""
+def settings(text: str) -> dict:
+    """Settings from YAML."""
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
+def config(path: str | None = None, needed: bool = False) -> dict:
+    """Settings from a YAML file over the defaults; an unreadable file gives the defaults, a missing one ``FileNotFoundError`` if it is ``needed``."""
     out = {k: dict(v) for k, v in DEFAULTS.items()}
     try:
-        import yaml
-
-        found = yaml.safe_load(Path(path).read_text()) if path else None
+        found = settings(Path(path).read_text()) if path else {}
+    except FileNotFoundError:
+        if needed:
+            raise
+        found = {}
     except (OSError, ImportError, ValueError):
-        found = None
-    for key, value in (found or {}).items():
+        found = {}
+    for key, value in found.items():
         out[key] = {**out.get(key, {}), **value} if isinstance(value, dict) else value
     return out
 

@@ -215,3 +215,37 @@ def test_term_stats(spark, limit):
     want = sorted(total, key=lambda t: (-total[t], t))[:limit]
     got = tfidf.term_stats(spark.createDataFrame([(t, "x") for t in texts], "text string, term string").repartition(3), limit).collect()
     assert sorted((r.term, r.total, r.df, round(r.idf, 9)) for r in got) == sorted((t, total[t], df[t], round(math.log((len(texts) + 1) / (df[t] + 1)) + 1, 9)) for t in want)
+
+
+def test_systems(spark):
+    from corvid.operators import system
+
+    docs = spark.createDataFrame([(1, "Paris is the capital of France. " * 3), (2, "Rome is in Italy. It is old."), (3, None), (4, ""), (None, "Paris")], "id long, text string")
+    q = spark.createDataFrame([(1, "What is the capital of France and how old is Rome?"), (1, "What is the capital of France and how old is Rome?"), (2, None), (None, "Rome")], "query_id long, text string")
+    base = {"text_splitter": {"type": "sentence"}, "retrieval": {"k": 2}}
+    run = lambda **more: system.compiled(base | more).retrieve(q, docs).orderBy("rank").collect()
+    plain = run()
+    assert {r.query_id for r in plain} == {1} and len({r.content for r in plain}) == len(plain) <= 2
+    assert run(strategy="no such strategy") == plain == run(strategy="none")
+    parts = run(strategy="decomposition")
+    assert {r.content for r in plain} < {r.content for r in parts} and [r.rank for r in parts] == list(range(1, len(parts) + 1))
+    scores = [r.score for r in run(reranker={"type": "simple"})]
+    assert scores == sorted(scores, reverse=True)
+    assert len(run(context_compression={"type": "prefix", "max_tokens": 8})) == 1
+    said = spark.createDataFrame([(1, 0, "user", "Tell me about Italy.")], "query_id long, turn long, role string, text string")
+    assert system.compiled(base).asked(q, said).first().text.startswith("Previous conversation:\nQ: Tell me about Italy.")
+    for part in ("text_splitter", "embedder", "vector_store", "generator", "reranker", "context_compression"):
+        with pytest.raises(ValueError, match="no such"):
+            system.compiled({part: {"type": "no such"}})
+    for bad in ({"retrieval": {"k": 0}}, {"text_splitter": {"chunk_size": 10, "chunk_overlap": 10}}):
+        with pytest.raises(ValueError):
+            system.compiled(bad)
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("retrieval:\n  k: 7\nstrategy: hyde\n")
+    assert files.config(str(path))["retrieval"]["k"] == 7 and files.config(str(path))["text_splitter"]["chunk_size"] == 500
+    assert files.config(str(tmp_path / "none"))["retrieval"]["k"] == 5
+    with pytest.raises(FileNotFoundError):
+        files.config(str(tmp_path / "none"), needed=True)

@@ -37,6 +37,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+def dense_score(distance: Column) -> Column:
+    """A distance as a score, 1 - distance; 0 without one."""
+    return F.coalesce(1 - distance, F.lit(0.0))
+
+
 def clamped_cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
 

@@ -31,3 +31,15 @@ def accepted(original: Column, rewritten: Column, more_than: int = 10) -> Column
     """The rewritten question if it has more than ``more_than`` characters, else the original."""
     clean = strip(rewritten)
     return F.when(F.length(clean) > more_than, clean).otherwise(original)
+
+
+def explain_prompt(code: Column) -> Column:
+    """Asks for an explanation of code."""
+    return F.concat(F.lit("Please explain this code:\n\n"), code)
+
+
+def debug_prompt(code: Column, error: Column) -> Column:
+    """Asks for help with code; with an error that is not null or empty, how to mend it."""
+    plain = F.concat(F.lit("Can you help me debug this code?\n\n"), code)
+    told = F.concat(F.lit("I'm getting this error in my code:\n\n"), code, F.lit("\n\nError: "), error, F.lit("\n\nHow can I fix this?"))
+    return F.when(F.coalesce(error, F.lit("")) == "", plain).otherwise(told)

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from . import evaluation, indexes, retrieval, streams, systems, tables, text  # noqa: F401  they register
+from . import evaluation, exports, indexes, retrieval, streams, systems, tables, text  # noqa: F401  they register
 from .common import QUERIES, SQL
 
 

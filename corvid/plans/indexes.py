@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import chunk
+from ..operators.embedcache import EmbeddingCache
+from ..operators.hooks import hashed_embedding
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.store import Store
-from .common import query, table
+from .common import TOKEN, query, table
 from .retrieval import _TFIDF, _ranked, _texts, _top, _vectors
 from .tables import _place
 
@@ -121,3 +123,24 @@ def chunk_metadata(spark, sf_dir):
     rows = chunk.with_metadata(chunk.fixed(docs.select("doc_id", "text", meta.alias("metadata")), size=C.CHUNK_SIZE, overlap=C.CHUNK_OVERLAP))
     got = lambda key, default=None: F.coalesce(F.col("metadata")[key], F.lit(default))
     return rows.select("doc_id", got("chunk_id").cast("long").alias("chunk_id"), got("source").alias("source"), got("lang", "Unknown").alias("lang"), got("start_index").cast("long").alias("start_index"), got("end_index").cast("long").alias("end_index"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}+')) AS tok FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS place, count(*) AS c FROM t GROUP BY ALL)
+SELECT d.doc_id, coalesce(sum(b.c), 0)::DOUBLE AS tokens, coalesce(round(sqrt(sum(b.c * b.c)), 6), 0)::DOUBLE AS length,
+  (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0)::BIGINT AS first_made,
+  (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0))::BIGINT AS second_made, 0::BIGINT AS third_made
+FROM documents d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id
+""")
+def embed_cached(spark, sf_dir):
+    """Vectors kept by content: the second job embeds only what the first one had not seen, the third one nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = EmbeddingCache(spark, _place(spark), "hashed")
+    _, one = cache.embed(docs.where("doc_id % 2 = 0"), hashed_embedding)
+    _, two = cache.embed(docs, hashed_embedding)
+    rows, three = cache.embed(docs, hashed_embedding)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    length = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    made = {"first_made": one, "second_made": two, "third_made": three}
+    return rows.select("doc_id", total.alias("tokens"), length.alias("length"), *[F.lit(n).cast("long").alias(c) for c, n in made.items()])

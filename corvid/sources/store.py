@@ -227,14 +227,17 @@ class Store:
         fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
         return {"schema": T.StructType(fields).json()}
 
-    def add(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
-        """Append rows; nothing that is there is read or written. A ``batch`` (writer, number) that was written, or an earlier number, is left out."""
+    def add(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Append rows, and say how many; nothing that is there is read or written.
+
+        A ``batch`` (writer, number) that was written, or an earlier number, is left out.
+        """
         state = self.snapshot()
         if batch and state.batches.get(batch[0], -1) >= batch[1]:
-            return
+            return 0
         entry = self._entry(state, rows) | {"add": self._written(rows)} | ({"batch": {batch[0]: batch[1]}} if batch else {})
-        if not self._commit(state, entry) and not batch:
-            raise RuntimeError("an append can't conflict")
+        # an append conflicts with nothing but the same batch of another run
+        return sum(f["rows"] for f in entry["add"]) if self._commit(state, entry) else 0
 
     def _changed(self, make: Callable[[Snapshot], tuple[dict, set[str]] | None], tries: int = 10) -> None:
         for _ in range(tries):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension, loader_of, strip
+from . import office
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +16,10 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def binaries(spark: SparkSession, path: str) -> DataFrame:
+def binaries(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """path, file_type, content, modified of files that some loader reads; others are left out."""
-    rows = spark.read.format("binaryFile").load(path)
+    known = "path string, modificationTime timestamp, length long, content binary"
+    rows = spark.readStream.format("binaryFile").schema(known).load(path) if stream else spark.read.format("binaryFile").load(path)
     return rows.select("path", loader_of(extension(F.col("path"))).alias("file_type"), "content", F.col("modificationTime").alias("modified")).where("file_type is not null")
 
 
@@ -30,36 +32,15 @@ def _pdf(content: bytes) -> str:
     return "\n\n".join(f"Page {i}:\n{t}" for i, t in pages if t)
 
 
-def _docx(content: bytes) -> str:
-    import io
-
-    from docx import Document
-
-    return "\n\n".join(p.text for p in Document(io.BytesIO(content)).paragraphs if p.text.strip())
-
-
-def _excel(content: bytes) -> str:
-    import io
-
-    import pandas as pd
-
-    out = []
-    for name, sheet in pd.read_excel(io.BytesIO(content), sheet_name=None).items():
-        out.append(f"\n=== Sheet: {name} ===\n")
-        for _, row in sheet.iterrows():
-            if cells := [f"{c}: {v}" for c, v in row.items() if pd.notna(v)]:
-                out.append(" | ".join(cells))
-    return "\n".join(out)
-
-
-_LOADERS = {"text": lambda b: b.decode("utf-8"), "markdown": lambda b: b.decode("utf-8"), "pdf": _pdf, "docx": _docx, "excel": _excel}
+_LOADERS = {"text": lambda b: b.decode("utf-8"), "markdown": lambda b: b.decode("utf-8"), "pdf": _pdf, "docx": office.docx, "excel": office.excel}
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """path, file_type, text, error of files by their extension.
 
     Files that fail have a null text and an error, so that no error message is
-    ever indexed. PDF, DOCX and Excel need their optional libraries.
+    ever indexed. PDF needs its optional library; old binary Word and Excel files are
+    errors. As a ``stream``, files that come to the folder are read once.
     """
 
     def load(batches):
@@ -73,7 +54,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             batch["text"], batch["error"] = [o[0] for o in out], [o[1] for o in out]
             yield batch[["path", "file_type", "text", "error"]]
 
-    return binaries(spark, path).select("path", "file_type", "content").mapInPandas(load, "path string, file_type string, text string, error string")
+    return binaries(spark, path, stream).select("path", "file_type", "content").mapInPandas(load, "path string, file_type string, text string, error string")
 
 
 def row_text(rows: DataFrame, columns: list[str] | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import dense_score
 from ..operators import rewrite, search
+from ..operators.quantiles import quantiles
 from ..sources import exports
 from .common import query, table
 from .retrieval import _ranked, _vectors
@@ -45,3 +46,13 @@ def dense_from_distance(spark, sf_dir):
     """Distances as scores; the fifth hit is taken to have none."""
     hits = search.top_k(*_vectors(spark, sf_dir))
     return hits.select("query_id", "id", F.round(dense_score(F.when(F.col("rank") < 5, F.col("score"))), 6).alias("score"), "rank")
+
+
+_SHARES = {"low": 0.0, "q1": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}
+
+
+@query("SELECT event_type AS metric, count(*)::BIGINT AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 4)::DOUBLE AS {name}" for name, q in _SHARES.items()) + " FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def bounded_percentiles(spark, sf_dir):
+    """Percentiles without holding a group's values in a task."""
+    rows = quantiles(table(spark, sf_dir, "events").withColumnRenamed("event_type", "metric"), "value", ["metric"], _SHARES)
+    return rows.select("metric", "n", *[F.round(name, 4).alias(name) for name in _SHARES])

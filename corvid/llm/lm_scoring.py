@@ -9,19 +9,25 @@ suffix: its count times the divergence (nats) must exceed what chance gives,
 ``1.5`` for each symbol plus ``10``. Contexts that fail the test predict as
 their suffix does.
 
-The tree is collected and broadcast, and it grows with the input: nothing bounds
-it but the two tests. Before texts are scored, entries that can't change a
-score (under no node, no node, prefix of none) leave it.
+The tree is never in one place. Known n-grams stand in a written table for each
+level, by a 64-bit hash; a level's distributions come from joins with the level
+above and one window over the context. A text's score is a sum over its n-grams: with
+suffixes and prefixes of a known n-gram known too, the probability of a position is
+the root's, times the back-off weight of each context that is a node, times for
+each known n-gram what it changes on that. So the tree becomes a table of values by
+n-gram, without those of 0. The most frequent ``HEAD`` at most are broadcast; others
+are joined by their hash. Before n-grams are counted or joined, a filter of ``BITS``
+bits at most leaves out most that are not known; it lets through any that is.
 
 Distributions are smoothed by absolute discounting: each counted symbol gives
 ``discount`` of its count to the parent's distribution; the root gives it to
 one symbol that stands for all tokens never seen in training. The longest
 suffix that is known scores each position.
 
-Counts run over all training rows; each task sums its own before the shuffle,
-so what is gathered grows with the input. Base score and root need the count of
-every token: counts of tokens of at least ``least_count`` are broadcast, the
-others are joined by their hash.
+Counts run over all training rows; each task sums its own before the shuffle.
+Base score and root need the count of every token: of those of at least
+``least_count`` the most frequent ``HEAD`` at most are broadcast, the others are
+joined by their hash. The driver holds the filter and both broadcast tables.
 
 Nulls are empty texts: one token, the end. Rows with a null doc_id are scored
 as held out. Repeated rows count as often as they occur; each row is scored by
@@ -35,13 +41,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import materialize, release
 
+#: Rows of a broadcast table and bits of a filter, at most.
+HEAD, BITS = 1 << 22, 1 << 27
 _END = np.uint64(1)
+_MULT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +106,7 @@ def _before(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Known n-grams by length; one of length k is numbered by its prefix's number and its last word."""
+    """Known n-grams in memory, by length; one of length k is numbered by its prefix's number and its last word."""
 
     def __init__(self, words: np.ndarray):
         self.words = words  # sorted hashes
@@ -126,18 +135,58 @@ class Grams:
         return out
 
 
-def _counting(of, most: int = 4_000_000):
-    """A mapper that counts the keys which ``of`` makes from texts' token hashes; sums are handed on for each ``most`` keys."""
+def _longer(shorter: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those without the last word, and that word; the key of one word is its hash."""
+    return T.mix(shorter.view(np.uint64) * _MULT + words.view(np.uint64)).view(np.int64)
+
+
+def keys(hashes: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each length to ``most`` the keys of n-grams that end at each position; no n-gram ends within a text's first ones."""
+    out = [hashes]
+    for _ in range(most - 1):
+        key = np.zeros_like(hashes)
+        key[1:] = _longer(out[-1][:-1], hashes[1:])
+        out.append(key)
+    return out
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Of each token its place in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _filter(rows: DataFrame, n: int) -> np.ndarray:
+    """Bits of the ``n`` keys of ``rows``, 16 for each, but ``BITS`` at most."""
+    size = min(BITS, 1 << max(6, (16 * n).bit_length()))
+    bit = f"(key & {size - 1}L)"
+    found = rows.groupBy(F.expr(f"shiftright({bit}, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63L))")).alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _may(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Whether keys may be among those of the filter."""
+    return (bits[(found & (len(bits) * 64 - 1)) >> 6] >> (found & 63)) & 1 == 1
+
+
+def _counting(of, names: list[str], most: int = 1_000_000):
+    """A mapper that counts the rows (columns of 64 bits) which ``of`` makes from texts' token hashes; sums are handed on for each ``most``."""
 
     def summed(found):
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        code = columns[0] if len(columns) == 1 else _longer(*columns)
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        n = np.diff(np.append(first, len(code)))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[order[first]]) for c in columns), pa.array(n)], [*names, "n"])
 
     def run(batches):
         found, size = [], 0
         for _, datas in T.each(batches):
             found.append(of(*tokens(datas)))
-            size += len(found[-1])
+            size += len(found[-1][0])
             if size >= most:
                 yield summed(found)
                 found, size = [], 0
@@ -147,20 +196,31 @@ def _counting(of, most: int = 4_000_000):
     return run
 
 
-def _counts(rows: DataFrame, of) -> DataFrame:
-    return rows.mapInArrow(_counting(of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _counts(rows: DataFrame, of, *names: str) -> DataFrame:
+    kinds = ", ".join(f"{n} long" for n in (*names, "n"))
+    return rows.mapInArrow(_counting(of, list(names)), kinds).groupBy(*names).agg(F.sum("n").alias("n"))
+
 
+def _frequent(rows: DataFrame):
+    """A condition, by ``n``, that at most ``HEAD`` rows meet: the most frequent ones."""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for at, n in sorted(rows.groupBy(step).count().collect(), reverse=True):
+        total += n
+        if total > HEAD:
+            break
+        least = at
+    return F.lit(False) if least is None else step >= least
 
-def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Collected counts by key."""
-    found = counts.toArrow()
-    keys, n = found["key"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+
+def _gathered(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Some columns of at most ``HEAD`` rows."""
+    found = rows.select(*columns).toArrow()
+    return [found[c].to_numpy() for c in columns]
 
 
 class Tree:
-    """log10 probabilities of known n-grams' last symbols, log10 back-off weights of contexts."""
+    """A tree in memory, to compare with: log10 probabilities of known n-grams' last symbols, log10 back-off weights of contexts."""
 
     def __init__(self, grams: Grams, logs: list[np.ndarray], backs: list[np.ndarray]):
         self.grams, self.logs, self.backs = grams, logs, backs
@@ -211,46 +271,66 @@ def pruned(tree: Tree) -> Tree:
     return Tree(grams, logs, backs)
 
 
-def grow(training: DataFrame, words: np.ndarray, counts: np.ndarray, root: np.ndarray, least: int, max_depth: int, discount: float) -> Tree:
-    """Learn the tree level by level from all rows of ``training``."""
+def _level(found: DataFrame, above: DataFrame, depth: int, discount: float) -> DataFrame:
+    """n-grams (key, suffix, n, prob) of one length with their prefix, and what the prefix is as a context.
+
+    ``found``: prefix, word, n. ``above``: n-grams that are shorter by one.
+    """
+
+    def named(batches):
+        for batch in batches:
+            prefix, word, short = (batch.column(i).to_numpy() for i in range(3))
+            suffix = word if depth == 1 else _longer(short, word)
+            yield pa.RecordBatch.from_arrays([pa.array(_longer(prefix, word)), pa.array(suffix), batch.column(0), *batch.columns[3:]], ["key", "suffix", "prefix", "n", "of"])
+
+    rows = found.join(above.select(F.col("key").alias("prefix"), F.col("suffix").alias("short"), F.col("n").alias("of")), "prefix")
+    rows = rows.select("prefix", "word", "short", "n", "of").mapInArrow(named, "key long, suffix long, prefix long, n long, of long")
+    rows = rows.join(above.select(F.col("key").alias("suffix"), F.col("prob").alias("less")), "suffix")
+    group = Window.partitionBy("prefix").orderBy("key")
+    all_ = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("back", F.greatest(F.lit(1e-12), 1.0 - F.sum(F.col("n") - discount).over(all_) / F.col("of")))
+    rows = rows.withColumn("own", (F.col("n") - discount) / F.col("of") + F.col("back") * F.col("less"))
+    gap = F.sum(F.col("n") * F.log(F.col("own") / F.col("less"))).over(all_)
+    rows = rows.withColumns({"node": gap > 1.5 * F.count(F.lit(1)).over(all_) + 10.0, "first": F.row_number().over(group) == 1})
+    gain = F.when(F.col("node"), F.log10(F.col("own") / F.col("less")) - F.log10("back")).otherwise(0.0)
+    return rows.select("key", "suffix", "n", F.when(F.col("node"), F.col("own")).otherwise(F.col("less")).alias("prob"), "prefix", "of", "node", "first", gain.alias("gain"), F.log10("back").alias("log_back"))
+
+
+def grow(training: DataFrame, words: DataFrame, least: int, max_depth: int, discount: float) -> DataFrame:
+    """The tree as a table: key, n, value of n-grams whose occurrences change a score.
+
+    ``words``: (key, n, prob) of the tokens that occur ``least`` times.
+    """
     spark = training.sparkSession
-    grams, sizes = Grams(words), [counts.astype(np.float64)]
-    probs, backs, suffix = [root], [], np.zeros(len(words), np.int64)
-    width = max(len(words), 1)
+    above = words.withColumn("suffix", F.col("key"))
+    levels = []
     for depth in range(1, max_depth + 1):
-        known = spark.sparkContext.broadcast(grams)
+        n = above.count()
+        if not n:
+            break
+        known = spark.sparkContext.broadcast(_filter(above, n))
 
-        def of(hashes, sizes, known=known, width=width):
-            numbers = known.value.numbers(hashes, sizes)
-            prefix = _before(numbers[-1], sizes)
-            # an n-gram without its first word occurs as often at least, so it must be known too
-            ok = (prefix >= 0) & (numbers[-1] >= 0)
-            return prefix[ok] * width + numbers[0][ok]
+        def of(hashes, sizes, known=known, depth=depth):
+            shorter = keys(hashes, sizes, depth)[-1]
+            place = _places(sizes)
+            may = _may(known.value, shorter) & (place >= depth - 1)
+            # a prefix and a suffix occur as often at least, so both must be known
+            at = np.flatnonzero(may[1:] & may[:-1] & (place[1:] >= depth)) + 1
+            return shorter[at - 1], hashes[at]
 
-        codes, n = _sorted(_counts(training, of).where(F.col("n") >= least))
+        counted = materialize(_counts(training, of, "prefix", "word").where(F.col("n") >= least), "grams")
         known.unpersist()
-        n = n.astype(np.float64)
-        prefix, word = codes // width, codes % width
-        # the same n-gram without its first word
-        short = word if depth == 1 else grams.index(depth - 1).find(suffix[prefix] * width + word)
-        # an n-gram's suffix is at least as frequent; guard against hash ties only
-        ok = short >= 0
-        codes, n, prefix, short = codes[ok], n[ok], prefix[ok], short[ok]
-        size = sizes[-1]
-        taken = np.bincount(prefix, n - discount, len(size))
-        back = np.maximum(1e-12, 1.0 - taken / size)
-        own = (n - discount) / size[prefix] + back[prefix] * probs[-1][short]
-        gap = np.bincount(prefix, n * np.log(own / probs[-1][short]), len(size))
-        node = gap > 1.5 * np.bincount(prefix, minlength=len(size)) + 10.0
-        backs.append(np.where(node, np.log10(back), 0.0))
-        probs.append(np.where(node[prefix], own, probs[-1][short]))
-        last, grams = grams, Grams(words)
-        grams.codes = [*last.codes, codes]
-        sizes.append(n)
-        suffix = short
-        if not len(codes):
-            break
-    return pruned(Tree(grams, [np.log10(p) for p in probs], backs))
+        levels.append(materialize(_level(counted, above, depth, discount), "level"))
+        release(counted)
+        above = levels[-1]
+    values = spark.createDataFrame([], "key long, n long, value double")
+    for level in levels:
+        nodes = level.where("node")
+        values = values.union(nodes.select("key", "n", "gain")).union(nodes.where("first").select("prefix", "of", "log_back"))
+    values = values.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")).where("value <> 0")
+    values = materialize(values, "values")
+    release(*levels)
+    return values
 
 
 def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataFrame:
@@ -263,59 +343,70 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     training = docs.where(~F.col("held_out")).select("doc_id", "text")
-    counts = materialize(_counts(training, lambda hashes, sizes: hashes), "tokens")
+    counts = materialize(_counts(training, lambda hashes, sizes: (hashes,), "key"), "tokens")
     n_all, v_all, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    words, ns = _sorted(counts.where(F.col("n") >= least_count))
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     unseen = max(discount * v_all, 0.5) / max(n_all, 1) if n_all else 1.0
-    root = (ns - discount) / max(n_all, 1)
-    tree = spark.sparkContext.broadcast((grow(training, words, ns, root, least_count, max_depth, discount), np.log10(ns + 1.0)))
+    words = counts.withColumn("prob", (F.col("n") - discount) / float(max(n_all, 1)))
+    often = words.where(F.col("n") >= least_count)
+    values = grow(training, often, least_count, max_depth, discount)
+    head = _frequent(often) & (F.col("n") >= least_count)
+    names, ns = _gathered(words.where(head), "key", "n")
+    frequent = _frequent(values)
+    grams, changes = _gathered(values.where(frequent), "key", "value")
+    seldom, left = words.where(~head), values.where(~frequent)
+    n_left = left.count()
+    model = (names, np.log10(ns + 1.0), np.log10((ns - discount) / max(n_all, 1)), grams, changes, _filter(values, len(grams) + n_left), n_left > 0)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        model, logs1 = tree.value
-        for part in (part for batch in batches for part in T.parts(batch)):
+        names, logs1, roots, grams, changes, known, more = shared.value
+        word, gram = _Index(names), _Index(grams)
+        for part in (part for batch in batches for part in T.parts(batch, most_bytes=1 << 20)):
             get = lambda k: part.column(part.schema.get_field_index(k))  # noqa: E731, B023
             hashes, sizes = tokens(list(T.texts(get("text"))))
-            score, open_, at = model.scores(hashes, sizes)
-            text = np.repeat(np.arange(len(sizes)), sizes)
+            text, place = np.repeat(np.arange(len(sizes)), sizes), _places(sizes)
+            at = word.find(hashes)
             seen = np.flatnonzero(at >= 0)
-            # of rare words: how often in a text, and how often scored by the root
-            asked = np.zeros(len(hashes), np.int64)
-            asked[open_] = 1
-            rare = np.flatnonzero(at < 0)
-            rare = rare[np.lexsort((hashes[rare], text[rare]))]
-            key, of = hashes[rare], text[rare]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(rare)])
-            times = np.diff(np.append(first, len(rare)))
-            asked = np.add.reduceat(asked[rare], first) if len(first) else times
-            items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times), pa.array(asked)], ["key", "times", "asked"])
+            score = np.bincount(text[seen], roots[at[seen]], len(sizes))
+            asked = [(hashes[at < 0], text[at < 0], np.ones(len(hashes) - len(seen), bool))]
+            for k, key in enumerate(keys(hashes, sizes, max_depth + 1)):
+                on = np.flatnonzero(_may(known, key) & (place >= k))
+                own, which = gram.find(key[on]), text[on]
+                hit = own >= 0
+                score += np.bincount(which[hit], changes[own[hit]], len(sizes))
+                if more:
+                    asked.append((key[on[~hit]], which[~hit], np.zeros(len(on) - np.count_nonzero(hit), bool)))
+            # tokens and n-grams to be joined: how often in a text
+            key, of, token = (np.concatenate(c) for c in zip(*asked, strict=True))
+            order = np.lexsort((token, key, of))
+            key, of, token = key[order], of[order], token[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (token[1:] != token[:-1]))[: len(key)])
+            times = np.diff(np.append(first, len(key)))
+            items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(token[first]), pa.array(times)], ["key", "token", "times"])
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(sizes) + 1)).astype(np.int32)), items)
             logs = np.bincount(text[seen], logs1[at[seen]], len(sizes))
-            known, n_open = (np.bincount(text[where], minlength=len(sizes)) for where in (seen, open_))
             yield pa.RecordBatch.from_arrays(
-                [get("doc_id"), get("held_out"), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(score), pa.array(n_open), rare],
-                ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "n_open", "rare"],
+                [get("doc_id"), get("held_out"), pa.array(sizes), pa.array(np.bincount(text[seen], minlength=len(sizes))), pa.array(logs), pa.array(score), rare],
+                ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "rare"],
             )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, n_open long, rare array<struct<key: long, times: long, asked: long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, rare array<struct<key: long, token: boolean, times: long>>"
     scored = materialize(docs.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    seldom = counts.where(F.col("n") < least_count)
+    table = seldom.select("key", F.lit(True).alias("token"), F.log10(F.col("n") + 1.0).alias("log"), F.log10("prob").alias("value"))
+    if n_left:
+        table = table.union(left.select("key", F.lit(False), F.lit(0.0), "value"))
     found = (
         scored.select("row_id", F.inline("rare"))
-        .join(seldom, "key")
+        .join(table, ["key", "token"])
         .groupBy("row_id")
-        .agg(
-            F.sum("times").alias("more"),
-            F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("more_logs"),
-            F.sum("asked").alias("answered"),
-            F.sum(F.log10((F.col("n") - F.lit(discount)) / F.lit(float(max(n_all, 1)))) * F.col("asked")).alias("more_partial"),
-        )
+        .agg(F.sum(F.when(F.col("token"), F.col("times"))).alias("more"), F.sum(F.col("log") * F.col("times")).alias("more_logs"), F.sum(F.col("value") * F.col("times")).alias("more_score"))
     )
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    known = F.col("known") + F.coalesce("more", F.lit(0))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_all + v_all + 1)))
-    score = F.col("partial") + F.coalesce("more_partial", F.lit(0.0)) + (F.col("n_open") - zero("answered")) * F.log10(F.lit(float(unseen)))
+    score = F.col("partial") + F.coalesce("more_score", F.lit(0.0)) + (F.col("n_tokens") - known) * F.log10(F.lit(float(unseen)))
     return (
         scored.drop("rare")
         .join(found, "row_id", "left")
-        .select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+        .select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
     )

@@ -149,12 +149,12 @@ class Store:
         rows = self._promote(rows)
         rows.write.parquet(f"{self.path}/{folder}")
         plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, _KINDS) and f.name not in ("text", "content")]
-        sums = [F.count(F.lit(1)).alias("rows"), *[a.alias(f"{kind}{i}") for i, c in enumerate(plain) for kind, a in (("l", F.min(f"`{c}`")), ("h", F.max(f"`{c}`")), ("n", F.count_if(F.col(f"`{c}`").isNull())))]]
+        sums = [F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"), *[a.alias(f"{kind}{i}") for i, c in enumerate(plain) for kind, a in (("l", F.min(f"`{c}`")), ("h", F.max(f"`{c}`")), ("n", F.count_if(F.col(f"`{c}`").isNull())))]]
         back = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
         out = []
         for r in back.groupBy(F.col("_metadata.file_name").alias("name")).agg(*sums).collect():
             stats = {c: [r[f"l{i}"], r[f"h{i}"], r[f"n{i}"]] for i, c in enumerate(plain)}
-            out.append({"name": r["name"], "folder": folder, "rows": r["rows"], "stats": {c: s for c, s in stats.items() if s[0] == s[0] and s[1] == s[1]}})
+            out.append({"name": r["name"], "folder": folder, "rows": r["rows"], "bytes": r["bytes"], "stats": {c: s for c, s in stats.items() if s[0] == s[0] and s[1] == s[1]}})
         return out
 
     def _schema(self, state: Snapshot) -> T.StructType:
@@ -281,17 +281,18 @@ class Store:
 
         self._changed(make)
 
-    def compact(self, least_rows: int = 1_000_000) -> None:
-        """Write files of fewer rows, and those with deleted rows, anew as files of about ``least_rows``; the rows stay the same."""
+    def compact(self, least_rows: int = 1_000_000, most_bytes: int = 64 << 20) -> None:
+        """Write files of fewer rows, and those with deleted rows, anew as files of about ``least_rows``, but ``most_bytes`` at most; the rows stay the same."""
 
         def make(state):
             touched = state.touched()
-            old = [n for n, f in state.files.items() if n in touched or f["rows"] < least_rows]
+            old = [n for n, f in state.files.items() if n in touched or f["rows"] < least_rows and f.get("bytes", 0) < most_bytes // 2]
             if len(old) < 2 and not touched:
                 return None
             live = sum(state.files[n]["rows"] - touched.get(n, 0) for n in old)
+            size = sum(state.files[n].get("bytes", 0) for n in old)
             rows = self._scan(state, old).drop(*[_PREFIX + k for k in self.promoted])
-            return {"remove": old, "add": self._written(rows.repartition(max(1, live // least_rows)))}, set(old)
+            return {"remove": old, "add": self._written(rows.repartition(max(1, live // least_rows, -(-size // most_bytes))))}, set(old)
 
         self._changed(make)
 

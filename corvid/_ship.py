@@ -17,11 +17,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
     Workers that have the package on their own path, and those that don't,
     then run the same code. Spark serves the archive; no shared folder is
-    needed. Arrow batches, by default of 64 MB, become 16 MB, so that batches of
+    needed. Arrow batches, by default of 64 MB, become 4 MB, so that batches of
     long texts take little of an executor's memory; another setting stays.
     """
     if spark.conf.get(_BATCH) == "67108864b":
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent

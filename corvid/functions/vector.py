@@ -46,7 +46,7 @@ def clamped_cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
 
 
-@functools.lru_cache(1 << 18)
+@functools.lru_cache(1 << 15)
 def _place(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
 
@@ -54,12 +54,12 @@ def _place(token: str) -> int:
 def hashed(dim: int = 64):
     """A pandas UDF text -> array<double>: counts of word tokens by MD5, a deterministic stand-in for an embedding."""
 
-    def one(text: str) -> list[float]:
+    def one(text: str) -> np.ndarray:
         counts = Counter(_WORD.findall(text.lower()))
-        return np.bincount([_place(t) % dim for t in counts], list(counts.values()), dim).tolist() if counts else [0.0] * dim
+        return np.bincount([_place(t) % dim for t in counts], list(counts.values()), dim) if counts else np.zeros(dim)
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(x) if x is not None else None for x in texts])
+        return pd.Series([one(x) if x is not None else None for x in texts], dtype=object)
 
     return run

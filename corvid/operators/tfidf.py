@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = Tru
     return top.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``most`` bytes of text (one text may have more)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _numbered(texts: list[str | None], number) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words of texts one after the other, and the text of each."""
     found = [[number(w) for w in _WORD.findall((x or "").lower()) if w not in _STOP] for x in texts]
@@ -84,7 +96,7 @@ def _sums(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         numbers: dict[str, int] = {}
         codes, total, df = _sums(*_numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n))))
         yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()).take(pa.array(codes)), pa.array(total), pa.array(df)], ["term", "total", "df"])
@@ -98,7 +110,7 @@ def _neighbours(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def _count_pairs(known):
     def run(batches):
         numbers = {w: i for i, w in enumerate(known.value)}
-        for batch in batches:
+        for batch in _slices(batches):
             words, owner = _numbered(batch.column(0).to_pylist(), lambda w: numbers.get(w, -1))
             at = _neighbours(words, owner)
             at = at[(words[at] >= 0) & (words[at + 1] >= 0)]
@@ -108,7 +120,7 @@ def _count_pairs(known):
 
 
 def _count_any_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         numbers: dict[str, int] = {}
         words, owner = _numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n)))
         at, names = _neighbours(words, owner), list(numbers)
@@ -127,7 +139,7 @@ def weights(docs: DataFrame, idf: dict[str, float], key: str, pairs: bool = True
 
     def weigh(batches):
         known, asked = shared.value
-        for batch in batches:
+        for batch in _slices(batches, 1):
             keys, terms, values = [], [], []
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {t: n * known[t] for t, n in Counter(grams(x, pairs)).items() if t in known}
@@ -191,7 +203,7 @@ def weighed(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataF
     place = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, place):
             found = [scorer.value.unit(x) for x in batch.column(place).to_pylist()]
             more = [pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "terms", "weights"])
@@ -227,7 +239,7 @@ def search(questions: DataFrame, docs: DataFrame, k: int = C.TOP_K, limit: int =
 
         def run(batches, shared=shared):
             own, scorer = shared.value
-            for batch in batches:
+            for batch in _slices(batches, 1):
                 step = max(1, SCORE_BYTES // (16 * len(own)))
                 for lo in range(0, batch.num_rows, step):
                     part = batch.slice(lo, step)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .search import BLOCK_BYTES, SCORE_BYTES, best, first_k
+from .search import BLOCK_BYTES, SCORE_BYTES, Running, best
 
 _WORD = re.compile(r"\w{2,}")
 _STOP = frozenset(C.STOP_WORDS)
@@ -226,7 +226,7 @@ def search(questions: DataFrame, docs: DataFrame, k: int = C.TOP_K, limit: int =
     """query_id, id, score, rank of the best ``k`` of ``docs (id, text)`` for each of ``questions (query_id, text)``; texts that share no term are left out.
 
     Questions are the stated query set, broadcast in blocks of bounded size;
-    each batch of documents hands on its own best ``k``.
+    each task hands on the best ``k`` of its documents.
     """
     spark, schema = docs.sparkSession, "query_id long, id long, score double"
     idf = vocabulary(term_stats(docs, limit))
@@ -239,15 +239,17 @@ def search(questions: DataFrame, docs: DataFrame, k: int = C.TOP_K, limit: int =
 
         def run(batches, shared=shared):
             own, scorer = shared.value
+            held = Running(len(own), k)
             for batch in _slices(batches, 1):
                 step = max(1, SCORE_BYTES // (16 * len(own)))
                 for lo in range(0, batch.num_rows, step):
                     part = batch.slice(lo, step)
                     ids, score = part.column(0).to_numpy(), np.round(scorer.scores(part.column(1).to_pylist()), digits)
-                    order = first_k(-score, ids, k)
-                    values = np.take_along_axis(score, order, 1).ravel()
-                    some = values > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])[some]), pa.array(ids[order].ravel()[some]), pa.array(values[some])], ["query_id", "id", "score"])
+                    held.room(len(ids))
+                    held.add(0, len(own), -score, ids)
+            for which, ids, order in held.parts(own):
+                some = order < 0
+                yield pa.RecordBatch.from_arrays([pa.array(which[some]), pa.array(ids[some]), pa.array(-order[some])], ["query_id", "id", "score"])
 
         hits = hits.union(docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, schema))
     return best(hits, k, "score", descending=True)

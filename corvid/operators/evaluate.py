@@ -15,10 +15,11 @@ def precision_over_ranks(rows: DataFrame, by: str, relevant: str, rank: str) ->
     return at.groupBy(by).agg(F.avg("_p").alias("context_precision"))
 
 
-def supported_share(pairs: DataFrame, by: str, statement: str, similarity: str, threshold: float = C.SUPPORT_THRESHOLD) -> DataFrame:
+def supported_share(pairs: DataFrame, by: str | list[str], statement: str, similarity: str, threshold: float = C.SUPPORT_THRESHOLD) -> DataFrame:
     """Faithfulness: the share of a group's statements whose best similarity exceeds the threshold."""
-    per = pairs.groupBy(by, statement).agg(F.max(similarity).alias("_s"))
-    return per.groupBy(by).agg(F.avg(F.when(F.col("_s") > threshold, 1.0).otherwise(0.0)).alias("faithfulness"))
+    by = [by] if isinstance(by, str) else by
+    per = pairs.groupBy(*by, statement).agg(F.max(similarity).alias("_s"))
+    return per.groupBy(*by).agg(F.avg(F.when(F.col("_s") > threshold, 1.0).otherwise(0.0)).alias("faithfulness"))
 
 
 def overall(*metrics: str) -> Column:

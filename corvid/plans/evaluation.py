@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import clamped_cosine
 from ..operators import chunk, evaluate, quantize, search
-from ..operators.hooks import embed_distinct, hashed_embedding
+from ..operators.hooks import hashed_embedding
 from ..streaming import memory as streams
 from .common import TOKEN, query, table
 from .retrieval import _VECTORS, _vectors
@@ -50,11 +50,15 @@ def _contexts(spark, sf_dir):
     return turns.groupBy("conv_id").agg(F.array_join(texts, " ").alias("context"), F.max_by("text", "turn").alias("question"))
 
 
-def _similar(rows, a, b):
-    """Adds similarity of two text columns, each distinct text embedded once."""
-    rows = embed_distinct(rows, a, hashed_embedding, "_va")
-    rows = embed_distinct(rows, b, hashed_embedding, "_vb")
-    return rows.withColumn("similarity", F.round(clamped_cosine(F.col("_va"), F.col("_vb")), 6)).drop("_va", "_vb")
+def _embedded(rows, text, name, *keys):
+    """Some columns and the vector of a text, which is made where the text is: neither moves."""
+    return rows.select(*keys, hashed_embedding(F.col(text)).alias(name))
+
+
+def _similar(rows):
+    """Adds similarity of the vectors ``_va`` and ``_vb``; 0 where one is null."""
+    both = F.col("_va").isNotNull() & F.col("_vb").isNotNull()
+    return rows.withColumn("similarity", F.when(both, F.round(clamped_cosine(F.col("_va"), F.col("_vb")), 6)).otherwise(F.lit(0.0))).drop("_va", "_vb")
 
 
 _STATEMENTS = f"SELECT conv_id, turn, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS a, context AS b FROM (SELECT conv_id, turn, unnest({_SENT}) AS raw FROM conversations WHERE role = 'assistant') JOIN c USING (conv_id) WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> ''"
@@ -63,9 +67,11 @@ _FAITH = f"WITH c AS ({_CTX}), p AS ({_STATEMENTS}), {_cos('a', 'b', 'conv_id, t
 
 def _faithfulness(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
-    rows = chunk.sentences(turns).join(_contexts(spark, sf_dir), "conv_id").select(F.struct("conv_id", "turn").alias("key"), F.col("content").alias("statement"), "context")
-    out = evaluate.supported_share(_similar(rows, "statement", "context"), "key", "statement", "similarity", 0.4)
-    return out.select("key.conv_id", "key.turn", F.round("faithfulness", 6).alias("faithfulness"))
+    # a context's vector goes to its statements, its text does not
+    rows = chunk.sentences(turns.join(_embedded(_contexts(spark, sf_dir), "context", "_vb", "conv_id"), "conv_id"))
+    rows = _similar(rows.withColumn("_va", hashed_embedding(F.col("content"))))
+    out = evaluate.supported_share(rows, ["conv_id", "turn"], "content", "similarity", 0.4)
+    return out.select("conv_id", "turn", F.round("faithfulness", 6).alias("faithfulness"))
 
 
 @query(f"{_FAITH} SELECT conv_id, turn, round(avg(CASE WHEN s > 0.4 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS faithfulness FROM per GROUP BY ALL")
@@ -79,8 +85,8 @@ _RELEVANCY = f"WITH c AS ({_CTX}), p AS (SELECT conv_id, turn, text AS a, questi
 
 def _answer_relevancy(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
-    rows = turns.join(_contexts(spark, sf_dir).select("conv_id", "question"), "conv_id")
-    return _similar(rows, "text", "question").select("conv_id", "turn", F.col("similarity").alias("answer_relevancy"))
+    rows = _embedded(turns, "text", "_va", "conv_id", "turn").join(_embedded(_contexts(spark, sf_dir), "question", "_vb", "conv_id"), "conv_id")
+    return _similar(rows).select("conv_id", "turn", F.col("similarity").alias("answer_relevancy"))
 
 
 @query(f"{_RELEVANCY} SELECT conv_id, turn, similarity AS answer_relevancy FROM cs")
@@ -92,8 +98,8 @@ def answer_relevancy(spark, sf_dir):
   SELECT conv_id, question, unnest({_SENT.replace('text', 'context')}) AS raw, generate_subscripts({_SENT.replace('text', 'context')}, 1) AS i FROM c) WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> ''), {_cos('a', 'b', 'conv_id, i')}
 SELECT conv_id, round(avg(similarity), 5)::DOUBLE AS context_relevancy FROM cs GROUP BY conv_id""")
 def context_relevancy(spark, sf_dir):
-    rows = chunk.sentences(_contexts(spark, sf_dir), "context").select("conv_id", "sentence_index", "content", "question")
-    return _similar(rows, "content", "question").groupBy("conv_id").agg(F.round(F.avg("similarity"), 5).alias("context_relevancy"))
+    rows = chunk.sentences(_contexts(spark, sf_dir).withColumn("_vb", hashed_embedding(F.col("question"))), "context")
+    return _similar(rows.withColumn("_va", hashed_embedding(F.col("content")))).groupBy("conv_id").agg(F.round(F.avg("similarity"), 5).alias("context_relevancy"))
 
 
 @query(f"""WITH f AS ({_FAITH} SELECT conv_id, turn, avg(CASE WHEN s > 0.4 THEN 1.0 ELSE 0.0 END) AS faithfulness FROM per GROUP BY ALL),

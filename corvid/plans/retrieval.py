@@ -245,7 +245,7 @@ def multi_query_retrieve(spark, sf_dir):
     """Search with each question's variants; equal contents become one, at the first position with the last values."""
     q, d = _texts(spark, sf_dir)
     variants = rewrite.exploded(q, rewrite.expansions(F.col("text"))).select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "text")
-    hits = dense_hits(variants, d, 5).join(d.select("id", F.md5("text").alias("content")), "id")
+    hits = search.fetched(dense_hits(variants, d, 5), d.select("id", F.md5("text").alias("content")), "id", variants.count() * 5)
     rows = hits.select(F.floor(F.col("query_id") / 10).cast("long").alias("item_id"), ((F.col("query_id") % 10) * 100 + F.col("rank")).cast("long").alias("ord"), "content", "id", "score")
     return search.first_position_last_value(rows, ["item_id", "content"], "ord")
 
@@ -259,7 +259,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relev
 def modular_retrieve(spark, sf_dir):
     """Fetch twice as many by hybrid search, rerank, keep the first five."""
     q, d = _texts(spark, sf_dir)
-    hits = _fused(spark, sf_dir, 10).drop("rank").join(q.withColumnRenamed("text", "question"), "query_id").join(d.select("id", "text"), "id")
+    hits = search.fetched(_fused(spark, sf_dir, 10).drop("rank"), d.select("id", "text"), "id", q.count() * 10).join(q.withColumnRenamed("text", "question"), "query_id")
     rows = hits.select("query_id", "id", "hybrid_score", F.round(X.overlap_score(F.col("question"), F.col("text")), 6).alias("relevance_score"))
     return search.best(rows, 5, "relevance_score", descending=True)
 

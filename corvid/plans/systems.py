@@ -11,6 +11,7 @@ from ..operators import system
 from ..sources import files
 from .common import query, words
 from .retrieval import _FIRST, _VARIANTS, _hashed_sql, _texts, _top
+from .tables import _place
 from .text import _PARTS, OVERLAP
 
 STRATEGIES = ("none", "llm_rewrite", "expansion", "hyde", "decomposition")
@@ -43,7 +44,12 @@ def _each(spark, sf_dir, make) -> DataFrame:
     """The results of all strategies, one under the other."""
     q, d = _texts(spark, sf_dir)
     d = d.select("id", "text")
-    out = [system.compiled(make(s)).retrieve(q, d).withColumn("strategy", F.lit(s)) for s in STRATEGIES]
+    systems = {s: system.compiled(make(s)) for s in STRATEGIES}
+    # all split and embed alike, so vectors are made once
+    vectors, path = systems["none"].chunks(d).select("chunk_id", "vector"), _place(spark)
+    vectors.write.parquet(path)
+    vectors = spark.read.schema(vectors.schema).parquet(path)
+    out = [own.retrieve(q, d, vectors=vectors).withColumn("strategy", F.lit(s)) for s, own in systems.items()]
     rows = functools.reduce(DataFrame.union, out)
     return rows.select("strategy", "query_id", "chunk_id", "id", F.md5("content").alias("content"), "score", "rank")
 

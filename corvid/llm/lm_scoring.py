@@ -27,7 +27,8 @@ suffix that is known scores each position.
 Counts run over all training rows; each task sums its own before the shuffle.
 Base score and root need the count of every token: of those of at least
 ``least_count`` the most frequent ``HEAD`` at most are broadcast, the others are
-joined by their hash. The driver holds the filter and both broadcast tables.
+joined by their hash. The driver holds the filter, and of both broadcast tables a share of
+some ``SHARE`` rows at a time.
 
 Nulls are empty texts: one token, the end. Rows with a null doc_id are scored
 as held out. Repeated rows count as often as they occur; each row is scored by
@@ -49,6 +50,8 @@ from ._store import materialize, release
 
 #: Rows of a broadcast table and bits of a filter, at most.
 HEAD, BITS = 1 << 22, 1 << 27
+#: Rows of it that the driver holds at a time.
+SHARE = 1 << 19
 _END = np.uint64(1)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -161,7 +164,8 @@ def _filter(rows: DataFrame, n: int) -> np.ndarray:
     bit = f"(key & {size - 1}L)"
     found = rows.groupBy(F.expr(f"shiftright({bit}, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63L))")).alias("bits")).toArrow()
     out = np.zeros(size >> 6, np.int64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    for batch in found.to_batches():  # columns are not copied into one
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
 
 
@@ -213,10 +217,38 @@ def _frequent(rows: DataFrame):
     return F.lit(False) if least is None else step >= least
 
 
-def _gathered(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Some columns of at most ``HEAD`` rows."""
-    found = rows.select(*columns).toArrow()
-    return [found[c].to_numpy() for c in columns]
+def _shares(rows: DataFrame, *columns: str) -> Iterator[list[np.ndarray]]:
+    """Some columns of at most ``HEAD`` rows: a power of two of shares, by the last bits of the key, with some ``SHARE`` rows each."""
+    count = 1 << max(0, (rows.count() - 1) // SHARE).bit_length()
+    for share in range(count):
+        found = rows.where(F.expr(f"key & {count - 1}L") == share).select(*columns).toArrow()
+        yield [found[c].to_numpy() for c in columns]
+
+
+def _broadcast(rows: DataFrame, *columns: str, of=lambda *own: own) -> list:
+    """Broadcasts of the shares of a table; the driver holds one at a time."""
+    context = rows.sparkSession.sparkContext
+    return [context.broadcast(of(*own)) for own in _shares(rows, *columns)]
+
+
+class Shares:
+    """Values by key, in the shares that ``_broadcast`` made of a table."""
+
+    def __init__(self, shares: list[tuple[np.ndarray, ...]]):
+        self.indexes, self.values = [_Index(own[0]) for own in shares], [own[1:] for own in shares]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which keys are there, and the values of those."""
+        hit, out = np.zeros(len(keys), bool), [np.zeros(len(keys)) for _ in self.values[0]]
+        last = keys & (len(self.indexes) - 1)
+        for share, (index, values) in enumerate(zip(self.indexes, self.values, strict=True)):
+            on = np.flatnonzero(last == share)
+            place = index.find(keys[on])
+            on, place = on[place >= 0], place[place >= 0]
+            hit[on] = True
+            for x, own in zip(out, values, strict=True):
+                x[on] = own[place]
+        return hit, [x[hit] for x in out]
 
 
 class Tree:
@@ -319,7 +351,7 @@ def grow(training: DataFrame, words: DataFrame, least: int, max_depth: int, disc
             return shorter[at - 1], hashes[at]
 
         counted = materialize(_counts(training, of, "prefix", "word").where(F.col("n") >= least), "grams")
-        known.unpersist()
+        known.destroy()  # the driver's copy too
         levels.append(materialize(_level(counted, above, depth, discount), "level"))
         release(counted)
         above = levels[-1]
@@ -351,30 +383,29 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     often = words.where(F.col("n") >= least_count)
     values = grow(training, often, least_count, max_depth, discount)
     head = _frequent(often) & (F.col("n") >= least_count)
-    names, ns = _gathered(words.where(head), "key", "n")
+    tokens_of = lambda key, ns: (key, np.log10(ns + 1.0), np.log10((ns - discount) / max(n_all, 1)))
+    names = _broadcast(words.where(head), "key", "n", of=tokens_of)
     frequent = _frequent(values)
-    grams, changes = _gathered(values.where(frequent), "key", "value")
+    grams = _broadcast(values.where(frequent), "key", "value")
     seldom, left = words.where(~head), values.where(~frequent)
-    n_left = left.count()
-    model = (names, np.log10(ns + 1.0), np.log10((ns - discount) / max(n_all, 1)), grams, changes, _filter(values, len(grams) + n_left), n_left > 0)
-    shared = spark.sparkContext.broadcast(model)
+    more = left.count() > 0
+    filtered = spark.sparkContext.broadcast(_filter(values, values.count()))
 
     def run(batches):
-        names, logs1, roots, grams, changes, known, more = shared.value
-        word, gram = _Index(names), _Index(grams)
+        word, gram = (Shares([own.value for own in shares]) for shares in (names, grams))
+        known = filtered.value
         for part in (part for batch in batches for part in T.parts(batch, most_bytes=1 << 20)):
             get = lambda k: part.column(part.schema.get_field_index(k))  # noqa: E731, B023
             hashes, sizes = tokens(list(T.texts(get("text"))))
             text, place = np.repeat(np.arange(len(sizes)), sizes), _places(sizes)
-            at = word.find(hashes)
-            seen = np.flatnonzero(at >= 0)
-            score = np.bincount(text[seen], roots[at[seen]], len(sizes))
-            asked = [(hashes[at < 0], text[at < 0], np.ones(len(hashes) - len(seen), bool))]
+            hit, (logs1, roots) = word.find(hashes)
+            seen = np.flatnonzero(hit)
+            score = np.bincount(text[seen], roots, len(sizes))
+            asked = [(hashes[~hit], text[~hit], np.ones(len(hashes) - len(seen), bool))]
             for k, key in enumerate(keys(hashes, sizes, max_depth + 1)):
                 on = np.flatnonzero(_may(known, key) & (place >= k))
-                own, which = gram.find(key[on]), text[on]
-                hit = own >= 0
-                score += np.bincount(which[hit], changes[own[hit]], len(sizes))
+                (hit, (changes,)), which = gram.find(key[on]), text[on]
+                score += np.bincount(which[hit], changes, len(sizes))
                 if more:
                     asked.append((key[on[~hit]], which[~hit], np.zeros(len(on) - np.count_nonzero(hit), bool)))
             # tokens and n-grams to be joined: how often in a text
@@ -385,7 +416,7 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
             times = np.diff(np.append(first, len(key)))
             items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(token[first]), pa.array(times)], ["key", "token", "times"])
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(sizes) + 1)).astype(np.int32)), items)
-            logs = np.bincount(text[seen], logs1[at[seen]], len(sizes))
+            logs = np.bincount(text[seen], logs1, len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [get("doc_id"), get("held_out"), pa.array(sizes), pa.array(np.bincount(text[seen], minlength=len(sizes))), pa.array(logs), pa.array(score), rare],
                 ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "rare"],
@@ -394,7 +425,7 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, rare array<struct<key: long, token: boolean, times: long>>"
     scored = materialize(docs.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored")
     table = seldom.select("key", F.lit(True).alias("token"), F.log10(F.col("n") + 1.0).alias("log"), F.log10("prob").alias("value"))
-    if n_left:
+    if more:
         table = table.union(left.select("key", F.lit(False), F.lit(0.0), "value"))
     found = (
         scored.select("row_id", F.inline("rare"))

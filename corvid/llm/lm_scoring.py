@@ -28,7 +28,9 @@ Counts run over all training rows; each task sums its own before the shuffle.
 Base score and root need the count of every token: of those of at least
 ``least_count`` the most frequent ``HEAD`` at most are broadcast, the others are
 joined by their hash. The driver holds the filter, and of both broadcast tables a share of
-some ``SHARE`` rows at a time.
+some ``SHARE`` rows at a time. A Python worker holds both and the filter, at 24 bytes
+a row at most, ``PART`` bytes of text (or one text) and ``MOST`` n-grams to be counted; broadcasts go
+when the scores are written.
 
 Nulls are empty texts: one token, the end. Rows with a null doc_id are scored
 as held out. Repeated rows count as often as they occur; each row is scored by
@@ -52,6 +54,8 @@ from ._store import materialize, release
 HEAD, BITS = 1 << 22, 1 << 27
 #: Rows of it that the driver holds at a time.
 SHARE = 1 << 19
+#: Bytes of text, n-grams to be counted, and rows handed on that a Python worker holds at a time; one text may have more.
+PART, MOST, ROWS = 1 << 18, 1 << 19, 1 << 16
 _END = np.uint64(1)
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -69,18 +73,22 @@ def tokens(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return T.to_signed(out), sizes
 
 
+def _scrambled(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 class _Index:
-    """Places of distinct integers, found by buckets of their scrambled values."""
+    """Places of distinct integers, found by buckets of their scrambled values; those in that order need no further memory for places."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys.astype(np.int64, copy=False)
         self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
         bucket = self._bucket(self.keys)
-        self.place = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.place = None if np.all(bucket[1:] >= bucket[:-1]) else np.argsort(bucket, kind="stable").astype(np.int32)
         self.start = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << (64 - int(self.shift))))).astype(np.int32)
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+        return (_scrambled(keys) >> self.shift).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of ``keys``, -1 where absent."""
@@ -91,7 +99,7 @@ class _Index:
         left = np.flatnonzero(at < end)
         at, end, keys = at[left], end[left], keys[left]
         while len(left):
-            place = self.place[at]
+            place = at if self.place is None else self.place[at]
             hit = self.keys[place] == keys
             out[left[hit]] = place[hit]
             at = at + 1
@@ -174,35 +182,42 @@ def _may(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (bits[(found & (len(bits) * 64 - 1)) >> 6] >> (found & 63)) & 1 == 1
 
 
-def _counting(of, names: list[str], most: int = 1_000_000):
-    """A mapper that counts the rows (columns of 64 bits) which ``of`` makes from texts' token hashes; sums are handed on for each ``most``."""
+def _counting(of, names: list[str]):
+    """A mapper that counts the rows (columns of 64 bits) which ``of`` makes from texts' token hashes; sums are handed on for each ``MOST``."""
 
     def summed(found):
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        found.clear()
         code = columns[0] if len(columns) == 1 else _longer(*columns)
         order = np.argsort(code)
         code = code[order]
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         n = np.diff(np.append(first, len(code)))
-        return pa.RecordBatch.from_arrays([*(pa.array(c[order[first]]) for c in columns), pa.array(n)], [*names, "n"])
+        order = order[first]
+        for lo in range(0, len(order), ROWS):
+            at = order[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), pa.array(n[lo : lo + ROWS])], [*names, "n"])
 
     def run(batches):
         found, size = [], 0
-        for _, datas in T.each(batches):
-            found.append(of(*tokens(datas)))
+        for part in (part for batch in batches for part in T.parts(batch, most_bytes=PART)):
+            found.append(of(*tokens(list(T.texts(part.column(part.schema.get_field_index("text")))))))
             size += len(found[-1][0])
-            if size >= most:
-                yield summed(found)
+            if size >= MOST:
+                yield from summed(found)
                 found, size = [], 0
         if size:
-            yield summed(found)
+            yield from summed(found)
 
     return run
 
 
 def _counts(rows: DataFrame, of, *names: str) -> DataFrame:
     kinds = ", ".join(f"{n} long" for n in (*names, "n"))
-    return rows.mapInArrow(_counting(of, list(names)), kinds).groupBy(*names).agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(_counting(of, list(names)), kinds)
+    if len(names) > 1:  # few of a task's n-grams repeat beyond its own sums, so no table of them is kept before the shuffle
+        found = found.repartition(*names)
+    return found.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def _frequent(rows: DataFrame):
@@ -225,30 +240,35 @@ def _shares(rows: DataFrame, *columns: str) -> Iterator[list[np.ndarray]]:
         yield [found[c].to_numpy() for c in columns]
 
 
-def _broadcast(rows: DataFrame, *columns: str, of=lambda *own: own) -> list:
+def _packed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A share in the order of its index; counts in as few bytes as they need."""
+    order = np.argsort(_scrambled(key))
+    values = values[order]
+    return key[order], values.astype(np.min_scalar_type(values.max())) if values.dtype == np.int64 and len(values) else values
+
+
+def _broadcast(rows: DataFrame, *columns: str) -> list:
     """Broadcasts of the shares of a table; the driver holds one at a time."""
     context = rows.sparkSession.sparkContext
-    return [context.broadcast(of(*own)) for own in _shares(rows, *columns)]
+    return [context.broadcast(_packed(*own)) for own in _shares(rows, *columns)]
 
 
 class Shares:
     """Values by key, in the shares that ``_broadcast`` made of a table."""
 
-    def __init__(self, shares: list[tuple[np.ndarray, ...]]):
-        self.indexes, self.values = [_Index(own[0]) for own in shares], [own[1:] for own in shares]
+    def __init__(self, shares: list[tuple[np.ndarray, np.ndarray]]):
+        self.indexes, self.values = [_Index(key) for key, _ in shares], [value for _, value in shares]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and the values of those."""
-        hit, out = np.zeros(len(keys), bool), [np.zeros(len(keys)) for _ in self.values[0]]
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
         last = keys & (len(self.indexes) - 1)
         for share, (index, values) in enumerate(zip(self.indexes, self.values, strict=True)):
             on = np.flatnonzero(last == share)
             place = index.find(keys[on])
             on, place = on[place >= 0], place[place >= 0]
-            hit[on] = True
-            for x, own in zip(out, values, strict=True):
-                x[on] = own[place]
-        return hit, [x[hit] for x in out]
+            hit[on], out[on] = True, values[place]
+        return hit, out[hit]
 
 
 class Tree:
@@ -383,8 +403,7 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     often = words.where(F.col("n") >= least_count)
     values = grow(training, often, least_count, max_depth, discount)
     head = _frequent(often) & (F.col("n") >= least_count)
-    tokens_of = lambda key, ns: (key, np.log10(ns + 1.0), np.log10((ns - discount) / max(n_all, 1)))
-    names = _broadcast(words.where(head), "key", "n", of=tokens_of)
+    names = _broadcast(words.where(head), "key", "n")
     frequent = _frequent(values)
     grams = _broadcast(values.where(frequent), "key", "value")
     seldom, left = words.where(~head), values.where(~frequent)
@@ -394,20 +413,20 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
     def run(batches):
         word, gram = (Shares([own.value for own in shares]) for shares in (names, grams))
         known = filtered.value
-        for part in (part for batch in batches for part in T.parts(batch, most_bytes=1 << 20)):
+        for part in (part for batch in batches for part in T.parts(batch, most_bytes=PART)):
             get = lambda k: part.column(part.schema.get_field_index(k))  # noqa: E731, B023
             hashes, sizes = tokens(list(T.texts(get("text"))))
             text, place = np.repeat(np.arange(len(sizes)), sizes), _places(sizes)
-            hit, (logs1, roots) = word.find(hashes)
+            hit, ns = word.find(hashes)
             seen = np.flatnonzero(hit)
-            score = np.bincount(text[seen], roots, len(sizes))
+            score = np.bincount(text[seen], np.log10((ns - discount) / max(n_all, 1)), len(sizes))
             asked = [(hashes[~hit], text[~hit], np.ones(len(hashes) - len(seen), bool))]
             for k, key in enumerate(keys(hashes, sizes, max_depth + 1)):
                 on = np.flatnonzero(_may(known, key) & (place >= k))
-                (hit, (changes,)), which = gram.find(key[on]), text[on]
-                score += np.bincount(which[hit], changes, len(sizes))
+                (in_head, changes), which = gram.find(key[on]), text[on]
+                score += np.bincount(which[in_head], changes, len(sizes))
                 if more:
-                    asked.append((key[on[~hit]], which[~hit], np.zeros(len(on) - np.count_nonzero(hit), bool)))
+                    asked.append((key[on[~in_head]], which[~in_head], np.zeros(len(on) - np.count_nonzero(in_head), bool)))
             # tokens and n-grams to be joined: how often in a text
             key, of, token = (np.concatenate(c) for c in zip(*asked, strict=True))
             order = np.lexsort((token, key, of))
@@ -416,7 +435,7 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
             times = np.diff(np.append(first, len(key)))
             items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(token[first]), pa.array(times)], ["key", "token", "times"])
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(sizes) + 1)).astype(np.int32)), items)
-            logs = np.bincount(text[seen], logs1, len(sizes))
+            logs = np.bincount(text[seen], np.log10(ns + 1.0), len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [get("doc_id"), get("held_out"), pa.array(sizes), pa.array(np.bincount(text[seen], minlength=len(sizes))), pa.array(logs), pa.array(score), rare],
                 ["doc_id", "held_out", "n_tokens", "known", "logs", "partial", "rare"],
@@ -424,6 +443,8 @@ def lm_score(docs: DataFrame, max_depth: int = 3, least_count: int = 4) -> DataF
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, partial double, rare array<struct<key: long, token: boolean, times: long>>"
     scored = materialize(docs.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored")
+    for share in (*names, *grams, filtered):  # or they would stay in executors and driver
+        share.destroy()
     table = seldom.select("key", F.lit(True).alias("token"), F.log10(F.col("n") + 1.0).alias("log"), F.log10("prob").alias("value"))
     if more:
         table = table.union(left.select("key", F.lit(False), F.lit(0.0), "value"))

@@ -305,12 +305,12 @@ def filter_with_fallback(spark, sf_dir):
 
 
 @query(f"""WITH {_DENSE}, t AS (SELECT t.*, d.source, d.text FROM {_top('dense', 3)} t JOIN documents d ON d.doc_id = t.id)
-SELECT query_id, id, substr(text, 1, 100) AS content, coalesce(CASE WHEN id % 2 = 0 THEN source END, 'Unknown') AS source, coalesce(score, 0)::DOUBLE AS relevance_score FROM t""")
+SELECT query_id, id, text AS content, coalesce(CASE WHEN id % 2 = 0 THEN source END, 'Unknown') AS source, coalesce(score, 0)::DOUBLE AS relevance_score FROM t""")
 def code_snippets(spark, sf_dir):
     q, d = _texts(spark, sf_dir)
-    rows = dense_hits(q, d, 3).join(d.select("id", "text", "source"), "id")
+    rows = search.fetched(dense_hits(q, d, 3), d.select("id", "text", "source"), "id", q.count() * 3)
     source = F.coalesce(F.when(F.col("id") % 2 == 0, F.col("source")), F.lit("Unknown"))
-    return rows.select("query_id", "id", F.substring("text", 1, 100).alias("content"), source.alias("source"), F.coalesce("score", F.lit(0.0)).alias("relevance_score"))
+    return rows.select("query_id", "id", F.col("text").alias("content"), source.alias("source"), F.coalesce("score", F.lit(0.0)).alias("relevance_score"))
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS content, count(*)::BIGINT AS copies FROM documents GROUP BY text")

@@ -35,15 +35,16 @@ def grams(text: str | None, pairs: bool = True) -> list[str]:
     return kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])] if pairs else kept  # noqa: B905
 
 
-def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = True, text: str = "text") -> DataFrame:
+def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = True, text: str = "text", parsed: bool = False) -> DataFrame:
     """(term, total, df, idf) of the ``limit`` most frequent terms, ties in alphabetical order.
 
     Words are counted first. The total of the last of the ``limit`` most frequent words is a
     bound: a pair that is to be among the first has it, and so have both of its words. So only pairs
     of such words are counted, by number. Where that leaves too many words (ties), pairs are counted as they are.
+    ``parsed``: texts are their kept words with a blank between.
     """
     sums = [F.sum("total").alias("total"), F.sum("df").alias("df")]
-    words = docs.select(text).mapInArrow(_count_words, "term string, total long, df long").groupBy("term").agg(*sums)
+    words = docs.select(text).mapInArrow(_count_words(parsed), "term string, total long, df long").groupBy("term").agg(*sums)
     if pairs:
         words = words.persist()
         n, least = words.orderBy(F.desc("total")).limit(limit).agg(F.count(F.lit(1)), F.min("total")).first()
@@ -52,12 +53,12 @@ def term_stats(docs: DataFrame, limit: int = C.TFIDF_FEATURES, pairs: bool = Tru
         if known is not None and len(known) <= 4 * limit:
             numbers = docs.sparkSession.createDataFrame(list(enumerate(known)), "number long, term string")
             numbers = F.broadcast(numbers)
-            counted = docs.select(text).mapInArrow(_count_pairs(docs.sparkSession.sparkContext.broadcast(known)), "code long, total long, df long").groupBy("code").agg(*sums).where(F.col("total") >= least)
+            counted = docs.select(text).mapInArrow(_count_pairs(docs.sparkSession.sparkContext.broadcast(known), parsed), "code long, total long, df long").groupBy("code").agg(*sums).where(F.col("total") >= least)
             one, two = numbers.withColumnsRenamed({"number": "a", "term": "first"}), numbers.withColumnsRenamed({"number": "b", "term": "second"})
             counted = counted.withColumns({"a": F.expr(f"code div {len(known)}"), "b": F.col("code") % len(known)}).join(one, "a").join(two, "b").select(F.concat_ws(" ", "first", "second").alias("term"), "total", "df")
             words = kept.union(counted)
         else:
-            words = words.union(docs.select(text).mapInArrow(_count_any_pairs, "term string, total long, df long").groupBy("term").agg(*sums))
+            words = words.union(docs.select(text).mapInArrow(_count_any_pairs(parsed), "term string, total long, df long").groupBy("term").agg(*sums))
     top = words.orderBy(F.desc("total"), F.asc("term")).limit(limit)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
     return top.join(F.broadcast(n_docs), how="cross").withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
@@ -74,58 +75,75 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 2 <<
             lo = hi
 
 
-def _numbered(texts: list[str | None], number) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of texts one after the other, and the text of each."""
-    found = [[number(w) for w in _WORD.findall((x or "").lower()) if w not in _STOP] for x in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
-    return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum())), np.repeat(np.arange(len(found)), sizes)
+def split(column: pa.Array, parsed: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after the other, and the text of each; ``parsed`` as in ``term_stats``."""
+    if parsed:
+        lists = pc.split_pattern(column, " ")
+        words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    else:
+        found = [grams(x, False) for x in column.to_pylist()]
+        words, sizes = pa.array(itertools.chain.from_iterable(found), pa.string()), np.array([len(x) for x in found], np.int64)
+    return words, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def numbers(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word in ``known``, -1 where it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _sums(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes, how often each is there, and in how many texts."""
-    order = np.lexsort((owner, codes))
-    codes, owner = codes[order], owner[order]
-    fresh = np.ones(len(codes), bool)
-    fresh[1:] = codes[1:] != codes[:-1]
-    own = np.ones(len(codes), bool)
-    own[1:] = fresh[1:] | (owner[1:] != owner[:-1])
-    starts = np.flatnonzero(fresh)
-    if not len(starts):
+    """Distinct codes, how often each is there, and in how many texts; owners come in order."""
+    if not len(codes):
         return codes, codes, codes
-    return codes[starts], np.diff(np.append(starts, len(codes))), np.add.reduceat(own.astype(np.int64), starts)
+    n = int(owner[-1]) + 1
+    own, times = np.unique(codes * n + owner, return_counts=True)
+    own //= n
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[starts], np.add.reduceat(times, starts), np.diff(np.append(starts, len(own)))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        numbers: dict[str, int] = {}
-        codes, total, df = _sums(*_numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()).take(pa.array(codes)), pa.array(total), pa.array(df)], ["term", "total", "df"])
+def _count_words(parsed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            words, owner = split(batch.column(0), parsed)
+            words = words.dictionary_encode()
+            codes, total, df = _sums(words.indices.to_numpy().astype(np.int64), owner)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(codes)), pa.array(total), pa.array(df)], ["term", "total", "df"])
+
+    return run
 
 
-def _neighbours(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def neighbours(owner: np.ndarray) -> np.ndarray:
     """Places of words followed by another word of the same text."""
-    return np.flatnonzero(owner[1:] == owner[:-1]) if len(words) else np.zeros(0, np.int64)
+    return np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
 
 
-def _count_pairs(known):
+def _count_pairs(known, parsed: bool):
     def run(batches):
-        numbers = {w: i for i, w in enumerate(known.value)}
+        frequent = pa.array(known.value, pa.string())
         for batch in _slices(batches):
-            words, owner = _numbered(batch.column(0).to_pylist(), lambda w: numbers.get(w, -1))
-            at = _neighbours(words, owner)
+            words, owner = split(batch.column(0), parsed)
+            words = numbers(words, frequent)
+            at = neighbours(owner)
             at = at[(words[at] >= 0) & (words[at + 1] >= 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _sums(words[at] * len(numbers) + words[at + 1], owner[at])], ["code", "total", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _sums(words[at] * len(frequent) + words[at + 1], owner[at])], ["code", "total", "df"])
 
     return run
 
 
-def _count_any_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        numbers: dict[str, int] = {}
-        words, owner = _numbered(batch.column(0).to_pylist(), lambda w, n=numbers: n.setdefault(w, len(n)))
-        at, names = _neighbours(words, owner), list(numbers)
-        codes, total, df = _sums(words[at] * len(names) + words[at + 1], owner[at])
-        yield pa.RecordBatch.from_arrays([pa.array([f"{names[c // len(names)]} {names[c % len(names)]}" for c in codes.tolist()], pa.string()), pa.array(total), pa.array(df)], ["term", "total", "df"])
+def _count_any_pairs(parsed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            words, owner = split(batch.column(0), parsed)
+            words = words.dictionary_encode()
+            codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+            at = neighbours(owner)
+            pairs, total, df = _sums(codes[at] * len(names) + codes[at + 1], owner[at])
+            n = max(len(names), 1)
+            terms = pc.binary_join_element_wise(names.take(pa.array(pairs // n)), names.take(pa.array(pairs % n)), " ")
+            yield pa.RecordBatch.from_arrays([terms, pa.array(total), pa.array(df)], ["term", "total", "df"])
+
+    return run
 
 
 def vocabulary(stats: DataFrame) -> dict[str, float]:

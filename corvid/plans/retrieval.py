@@ -177,13 +177,16 @@ n AS (SELECT query_id, id, {_scaled('f', 'dr')} AS ds, {_scaled('f', 'sr')} AS s
 hy AS (SELECT query_id, id, round(ds, 6)::DOUBLE AS dense_score, round(ss, 6)::DOUBLE AS sparse_score, round(ds * 0.5::DOUBLE + ss * 0.5::DOUBLE, 6)::DOUBLE AS hybrid_score FROM n)"""
 
 
-def _sides(q, d, sparse=True):
-    """All documents with vectors and term weights, each made once and written; questions alike, and makers of both scores."""
+def _sides(q, d, keys=None):
+    """All documents with vectors and term weights, or numbers of the keywords ``keys``, each made once and written; questions alike, and makers of both scores."""
     corpus = d.select(F.col("id").cast("long").alias("id"), "text", hashed_embedding(F.col("text")).alias("vector")).where("text is not null")
     idf = {}
-    if sparse:
+    if keys is None:
         idf = tfidf.vocabulary(tfidf.term_stats(d))
-        corpus = tfidf.weighed(corpus, idf).drop("text")
+        corpus = tfidf.weighed(corpus, idf)
+    else:
+        corpus = search.with_keywords(corpus, keys)
+    corpus = corpus.drop("text")
     path = _place(d.sparkSession)
     corpus.write.parquet(path)
     corpus = d.sparkSession.read.schema(corpus.schema).parquet(path)
@@ -215,9 +218,11 @@ SELECT *, FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boos
 def keyword_boost_search(spark, sf_dir):
     """Dense and keyword scores of all documents, scaled; keywords raise the dense score."""
     q, d = _texts(spark, sf_dir)
-    questions, corpus, dense, _ = _sides(q, d, sparse=False)
-    questions = questions.withColumn("keys", X.keywords(F.col("text")))
-    keys = lambda rows: search.keyword_scores([list(x) for x in rows["keys"]], 1)
+    found = X.keywords(F.col("text"))
+    distinct = sorted(r[0] for r in q.select(F.explode(found).alias("key")).distinct().collect())
+    questions, corpus, dense, _ = _sides(q, d, distinct)
+    questions = questions.withColumn("keys", found)
+    keys = lambda rows: search.keyword_scores([list(x) for x in rows["keys"]], corpus.columns.index("keys"), distinct)
     return search.fused(questions, corpus, dense, keys, lambda a, b: a * (1 + (C.KEYWORD_BOOST - 1) * b), ("dense_score", "keyword_score", "boosted_score"))
 
 
